@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from stratacell.llm.bpe import op2_bpe
 from stratacell.llm.exact_dedup import OP9_SQL, op9_exact_dedup
+from stratacell.llm.packing import op10_packing
 from stratacell.llm.url_filter import OP5_SQL, op5_url_filter
 
 QUERIES = {
+    "op2_bpe": op2_bpe,
     "op5_url_filter": op5_url_filter,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_packing": op10_packing,
 }
 
 SQL = {
