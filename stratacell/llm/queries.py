@@ -5,9 +5,11 @@ from __future__ import annotations
 from stratacell.llm.bpe import op2_bpe
 from stratacell.llm.exact_dedup import OP9_SQL, op9_exact_dedup
 from stratacell.llm.packing import op10_packing
+from stratacell.llm.quality_rules import OP1_SQL, op1_quality_rules
 from stratacell.llm.url_filter import OP5_SQL, op5_url_filter
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
     "op2_bpe": op2_bpe,
     "op5_url_filter": op5_url_filter,
     "op9_exact_dedup": op9_exact_dedup,
@@ -15,6 +17,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_quality_rules": OP1_SQL,
     "op5_url_filter": OP5_SQL,
     "op9_exact_dedup": OP9_SQL,
 }
