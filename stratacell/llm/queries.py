@@ -7,11 +7,13 @@ from stratacell.llm.exact_dedup import OP9_SQL, op9_exact_dedup
 from stratacell.llm.packing import op10_packing
 from stratacell.llm.quality_rules import OP1_SQL, op1_quality_rules
 from stratacell.llm.substring_dedup import OP6_SQL, op6_substring_dedup
+from stratacell.llm.toxicity import op4_toxicity
 from stratacell.llm.url_filter import OP5_SQL, op5_url_filter
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_bpe": op2_bpe,
+    "op4_toxicity": op4_toxicity,
     "op5_url_filter": op5_url_filter,
     "op6_substring_dedup": op6_substring_dedup,
     "op9_exact_dedup": op9_exact_dedup,
