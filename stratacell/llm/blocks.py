@@ -197,7 +197,7 @@ def finished(blocks: DataFrame, answers: DataFrame, finish: Callable[[tuple, tup
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         by = {s: unpack(a) for s, a in zip(right.column("shard").to_pylist(), right.column("answer").to_pylist(), strict=True)}
-        out = [finish(unpack(d), unpack(b), by) for d, b in zip(left.column("dictionary").to_pylist(), left.column("body").to_pylist(), strict=True)]
+        out = [finish(unpack(d) if d else (), unpack(b), by) for d, b in zip(left.column("dictionary").to_pylist(), left.column("body").to_pylist(), strict=True)]
         return pa.concat_tables(out)
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
