@@ -9,12 +9,14 @@ from stratacell.llm.packing import op10_packing
 from stratacell.llm.perplexity import op7_quality_classifier
 from stratacell.llm.quality_rules import OP1_SQL, op1_quality_rules
 from stratacell.llm.substring_dedup import OP6_SQL, op6_substring_dedup
+from stratacell.llm.suffix_dedup import op3_suffix_dedup
 from stratacell.llm.toxicity import op4_toxicity
 from stratacell.llm.url_filter import OP5_SQL, op5_url_filter
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_bpe": op2_bpe,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_url_filter": op5_url_filter,
     "op6_substring_dedup": op6_substring_dedup,
