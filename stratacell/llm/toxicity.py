@@ -36,8 +36,8 @@ SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_BYTES = 1200, 2000, 12_000
 #: Words of a window, and from one window's start to the next one's.
 WINDOW, STRIDE = 48, 36
 
-#: Passes over the sample, documents of a step, step size, windows of a document in a step.
-PASSES, STEP_DOCS, RATE, STEP_WINDOWS = 6, 32, 0.01, 64
+#: Passes over the sample, documents of a step, step size, windows of a document in a step; a small sample is passed over more often, for so many steps.
+PASSES, STEP_DOCS, RATE, STEP_WINDOWS, LEAST_STEPS = 6, 32, 0.01, 64, 200
 
 #: Rows of the embeddings, their width, the unit's width, the attention's width, and lengths of character runs.
 WORD_ROWS, CHAR_ROWS, WIDTH, UNIT, ATTEND, CHARS = 1 << 14, 1 << 15, 16, 12, 8, (3, 4, 5)
@@ -258,6 +258,7 @@ def train(texts: list[str], labels: list[int], seed: int = 5, passes: int = PASS
     start, length, of = windows(found.offsets)
     per = np.searchsorted(of, np.arange(len(size) + 1))
     adam = Adam(net.p)
+    passes = max(passes, -(-LEAST_STEPS // -(-len(use) // STEP_DOCS)))
     steps = passes * -(-len(use) // STEP_DOCS)
     done = 0
     for _ in range(passes):
