@@ -37,6 +37,9 @@ from stratacell.llm.substring_dedup import mixed, packed_keys, unpacked_keys
 ORDER, BITS, CLASSES = 5, 12, 4096
 PLAIN, SHARED = 4000, 93
 
+#: Least discount, so that no context leaves nothing for what it wasn't seen with.
+LEAST_DISCOUNT = 0.1
+
 #: Trusted documents whose ids are broadcast at most; with more, documents and labels are dealt out by id.
 BROADCAST_IDS = 2_000_000
 
@@ -87,7 +90,7 @@ def discounts(counts: DataFrame) -> DataFrame:
     n = [F.sum((F.col("c") == k).cast("double")).alias(f"n{k}") for k in (1, 2, 3, 4)]
     row = counts.agg(*n)
     y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
-    d = lambda k: F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(float(k)), k - (k + 1) * y * F.try_divide(F.col(f"n{k + 1}"), F.col(f"n{k}")))), F.lit(k * 0.5)).alias(f"d{k}")
+    d = lambda k: F.coalesce(F.greatest(F.lit(LEAST_DISCOUNT), F.least(F.lit(float(k)), k - (k + 1) * y * F.try_divide(F.col(f"n{k + 1}"), F.col(f"n{k}")))), F.lit(k * 0.5)).alias(f"d{k}")
     return row.select(*[d(k) for k in (1, 2, 3)])
 
 

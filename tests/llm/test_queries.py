@@ -142,7 +142,7 @@ def test_perplexity_is_brute_force(spark, plain):
     """Modified Kneser-Ney over characters, by dictionaries."""
     import pyarrow.parquet as pq
 
-    from stratacell.llm.perplexity import CLASSES, ORDER
+    from stratacell.llm.perplexity import CLASSES, LEAST_DISCOUNT, ORDER
 
     trusted = {r["doc_id"] for r in pq.read_table(f"{plain[0]}/labels.parquet").to_pylist() if r["quality"] == 1}
     cls = lambda c: ord(c) + 2 if ord(c) < 4000 else 4002 + ord(c) % 93
@@ -154,7 +154,7 @@ def test_perplexity_is_brute_force(spark, plain):
     for k, t in tables.items():
         n = Counter(t.values())
         y = n[1] / (n[1] + 2 * n[2])
-        d = [max(0, min(j, j - (j + 1) * y * n[j + 1] / n[j])) if n[j] else j * 0.5 for j in (1, 2, 3)]
+        d = [max(LEAST_DISCOUNT, min(j, j - (j + 1) * y * n[j + 1] / n[j])) if n[j] else j * 0.5 for j in (1, 2, 3)]
         taken[k] = lambda c, d=d: min(c, d[min(c, 3) - 1])
         contexts[k] = defaultdict(lambda: [0, 0.0])
         for g, c in t.items():
