@@ -90,7 +90,8 @@ def discounts(counts: DataFrame) -> DataFrame:
     n = [F.sum((F.col("c") == k).cast("double")).alias(f"n{k}") for k in (1, 2, 3, 4)]
     row = counts.agg(*n)
     y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
-    d = lambda k: F.coalesce(F.greatest(F.lit(LEAST_DISCOUNT), F.least(F.lit(float(k)), k - (k + 1) * y * F.try_divide(F.col(f"n{k + 1}"), F.col(f"n{k}")))), F.lit(k * 0.5)).alias(f"d{k}")
+    raw = lambda k: F.coalesce(k - (k + 1) * y * F.try_divide(F.col(f"n{k + 1}"), F.col(f"n{k}")), F.lit(k * 0.5))
+    d = lambda k: F.greatest(F.lit(LEAST_DISCOUNT), F.least(F.lit(float(k)), raw(k))).alias(f"d{k}")
     return row.select(*[d(k) for k in (1, 2, 3)])
 
 
