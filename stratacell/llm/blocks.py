@@ -175,7 +175,7 @@ def asked(blocks: DataFrame, ask: Callable[[tuple, int], Iterator[tuple[int, byt
                     {"shard": [s for s, _ in got], "block": [block] * len(got), "asked": [a for _, a in got]}, schema=_schema(("shard", pa.int32()), ("block", pa.int64()), ("asked", pa.binary()))
                 )
 
-    return blocks.select("block", "body" if with_body else "dictionary").mapInArrow(run, ASK_SCHEMA)
+    return blocks.mapInArrow(run, ASK_SCHEMA)  # of all columns, so that the blocks' shuffle is the same one for all steps
 
 
 def answered(asks: DataFrame, solve: Callable[[list[int], list[tuple]], Iterator[tuple[int, bytes]]]) -> DataFrame:
