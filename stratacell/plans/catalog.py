@@ -2,28 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from stratacell.plans import cells, estimates, relations  # noqa: F401
+from stratacell.plans.registry import QUERIES, SQL  # noqa: F401
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from stratacell.session import table
-
-FLAGSHIP = "weighted_rates"
-
-
-def weighted_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of fulfilled orders by priority, weighted by price."""
-    o = table(spark, sf_dir, "orders")
-    w = F.col("o_totalprice")
-    return o.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.when(F.col("o_orderstatus") == "F", w).otherwise(0.0)) / F.sum(w), 6).alias("rate"))
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"weighted_rates": weighted_rates}
-
-SQL: dict[str, str] = {
-    "weighted_rates": """
-SELECT o_orderpriority, count(*) AS n, round(sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE 0 END) / sum(o_totalprice), 6) AS rate
-FROM orders GROUP BY o_orderpriority
-""",
-}
+FLAGSHIP = "under_reporting_by_lang"
