@@ -56,11 +56,11 @@ def collision_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("c_custkey", F.when(F.col("rn") == 1, F.col("slug")).otherwise(F.concat_ws("-", "slug", "rn")).alias("slug"))
 
 
-EVENT_ISLANDS = """g AS (SELECT user_id, epoch_us(ts) AS at, event_id, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events),
-i AS (SELECT *, sum(CASE WHEN before IS NULL OR at - before > 1800000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY at, event_id) AS island FROM g)"""
+EVENT_ISLANDS = """g AS (SELECT user_id, epoch_us(ts) AS t_us, event_id, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t_before FROM events),
+i AS (SELECT *, sum(CASE WHEN t_before IS NULL OR t_us - t_before > 1800000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t_us, event_id) AS island FROM g)"""
 
 
-@query(f"WITH {EVENT_ISLANDS} SELECT user_id, island::BIGINT AS island, count(*) AS n, max(at) - min(at) AS micros FROM i GROUP BY user_id, island")
+@query(f"WITH {EVENT_ISLANDS} SELECT user_id, island::BIGINT AS island, count(*) AS n, max(t_us) - min(t_us) AS micros FROM i GROUP BY user_id, island")
 def event_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
     own = W.islands(e, ["user_id"], "at", F.lit(1_800_000_000))
