@@ -39,7 +39,7 @@ def nested(cells: DataFrame) -> DataFrame:
 def read_csv_text(spark: SparkSession, path: str, required: tuple[str, ...] = ()) -> DataFrame:
     """A CSV with all columns as text; an empty field stays empty, and a byte order mark goes."""
     df = spark.read.option("header", True).option("inferSchema", False).option("nullValue", "\u0000").option("emptyValue", "").option("encoding", "UTF-8").option("multiLine", True).option("escape", '"').csv(path)
-    df = df.toDF(*[c.lstrip("﻿") for c in df.columns])
+    df = df.toDF(*[c.lstrip("\ufeff") for c in df.columns]).na.fill("")  # the reader has null for an empty field
     missing = [c for c in required if c not in df.columns]
     if missing:
         raise ValueError(f"columns that are missing: {missing}")
