@@ -42,12 +42,31 @@ ASK_SCHEMA = "shard int, block long, asked binary"
 ANSWER_SCHEMA = "block long, shard int, answer binary"
 
 
+class Written(NamedTuple):
+    """A table as an Arrow stream, which holds a slice's rows only; pickle would write all that it is a slice of."""
+
+    data: bytes
+
+
 def pack(*parts: Any, level: int = 1) -> bytes:
-    return zstandard.ZstdCompressor(level=level).compress(pickle.dumps(parts, protocol=5))
+    return zstandard.ZstdCompressor(level=level).compress(pickle.dumps([_written(p) if isinstance(p, pa.Table) else p for p in parts], protocol=5))
+
+
+def _written(t: pa.Table) -> Written:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, t.schema) as out:
+        out.write_table(t)
+    return Written(sink.getvalue().to_pybytes())
 
 
 def unpack(data: bytes) -> tuple:
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(data))
+    parts = pickle.loads(zstandard.ZstdDecompressor().decompress(data))
+    return tuple(pa.ipc.open_stream(p.data).read_all() if isinstance(p, Written) else p for p in parts)
+
+
+def tight(a: np.ndarray) -> np.ndarray:
+    """Numbers from 0 up, in as few bytes as the largest needs."""
+    return a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0))
 
 
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -222,12 +241,12 @@ def partitions(df: DataFrame) -> int:
 def word_lists(distinct: pa.Array, shards: int) -> Iterator[tuple[int, bytes]]:
     """A dictionary's strings, packed by the shard that owns them."""
     for s, part in split_by_shard(shard_of(hashes(distinct), shards)) if len(distinct) else ():
-        yield s, pack(*_plain(distinct.take(pa.array(part))))
+        yield s, pack(*_plain(distinct.take(pa.array(part))), level=3)
 
 
 def _plain(array: pa.Array) -> tuple[np.ndarray, bytes]:
     offsets, data = buffers(array)
-    return np.diff(offsets).astype(np.uint32), data.tobytes()
+    return tight(np.diff(offsets)), data.tobytes()
 
 
 def merged(lists: list[tuple]) -> tuple[list[np.ndarray], pa.Array]:
