@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stratacell.plans import cells, estimates, records, relations, resampled, streams, texts  # noqa: F401
+from stratacell.plans import cells, estimates, records, relations, reports, resampled, streams, texts  # noqa: F401
 from stratacell.plans.registry import QUERIES, SQL  # noqa: F401
 
 FLAGSHIP = "under_reporting_by_lang"

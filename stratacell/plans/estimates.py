@@ -254,10 +254,10 @@ def guard_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select(F.inline(F.array(*rows)))
 
 
-@query("""SELECT l_suppkey, round(sum(l_discount * l_quantity) / sum(l_quantity), 6) AS share, round(avg(m), 6) AS mean_of_means FROM (SELECT *, avg(l_discount) OVER (PARTITION BY l_suppkey, l_returnflag) AS m FROM lineitem) GROUP BY l_suppkey""")
+@query("""SELECT l_suppkey, round(sum(l_discount * l_quantity) / sum(l_quantity), 10) AS share, round(avg(m), 10) AS mean_of_means FROM (SELECT *, avg(l_discount) OVER (PARTITION BY l_suppkey, l_returnflag) AS m FROM lineitem) GROUP BY l_suppkey""")
 def weighted_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.sum(F.col("l_discount") * F.col("l_quantity")).alias("dq"), F.sum("l_quantity").alias("q"), F.avg("l_discount").alias("m"), F.count(F.lit(1)).alias("n"))
-    return per.groupBy("l_suppkey").agg(F.round(F.sum("dq") / F.sum("q"), 6).alias("share"), F.round(F.sum(F.col("m") * F.col("n")) / F.sum("n"), 6).alias("mean_of_means"))
+    return per.groupBy("l_suppkey").agg(F.round(F.sum("dq") / F.sum("q"), 10).alias("share"), F.round(F.sum(F.col("m") * F.col("n")) / F.sum("n"), 10).alias("mean_of_means"))
 
 
 @query("""WITH a AS (SELECT o_custkey, sum(o_totalprice) AS x FROM orders GROUP BY o_custkey), b AS (SELECT c_custkey, c_acctbal * 100 AS y FROM customer) SELECT coalesce(o_custkey, c_custkey) AS key, CASE WHEN x IS NULL THEN 'only_right' WHEN y IS NULL THEN 'only_left' WHEN abs(x - y) > 100000 THEN 'differs' ELSE 'same' END AS verdict FROM a FULL JOIN b ON o_custkey = c_custkey""")
