@@ -154,3 +154,12 @@ def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(bytes([i]), bytes([i + 1])) for i in range(n) if i != 15], "a binary, b binary")
     got = {r["node"][0]: r["label"][0] for r in components(links).collect()}
     assert got == {i: 0 if i <= 15 else 16 for i in range(n + 1)}
+
+
+def test_labels_after_more_links(spark):
+    from stratacell.llm.near_dedup import components, joined_up
+
+    links = lambda pairs: spark.createDataFrame([(bytes([a]), bytes([b])) for a, b in pairs], "a binary, b binary")
+    first, second = [(0, 1), (1, 2), (5, 6), (8, 9)], [(2, 6), (9, 12), (3, 12), (20, 21)]
+    got = {r["node"][0]: r["label"][0] for r in joined_up(components(links(first)), links(second)).collect()}
+    assert got == {r["node"][0]: r["label"][0] for r in components(links(first + second)).collect()}
