@@ -167,8 +167,8 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def mapped(df: DataFrame, columns: tuple[str, ...], make: Callable[[pa.Table], tuple[bytes, bytes]], n: int, size: int = BLOCK_BYTES) -> DataFrame:
-    """Blocks of df's rows, dealt over n partitions; make gives a block's dictionary and body."""
+def mapped(df: DataFrame, columns: tuple[str, ...], make: Callable[[pa.Table], tuple[bytes, bytes]], n: int | None, size: int = BLOCK_BYTES) -> DataFrame:
+    """Blocks of df's rows, dealt over n partitions (left where they are if that is None); make gives a block's dictionary and body."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -176,7 +176,8 @@ def mapped(df: DataFrame, columns: tuple[str, ...], make: Callable[[pa.Table], t
             dictionary, body = make(t)
             yield pa.RecordBatch.from_pydict({"block": pa.array([part << 32 | k], pa.int64()), "dictionary": [dictionary], "body": [body]}, schema=_schema(("block", pa.int64()), ("dictionary", pa.binary()), ("body", pa.binary())))
 
-    return df.select(*columns).mapInArrow(run, BLOCK_SCHEMA).repartition(n, "block")
+    made = df.select(*columns).mapInArrow(run, BLOCK_SCHEMA)
+    return made if n is None else made.repartition(n, "block")
 
 
 def _schema(*fields: tuple[str, pa.DataType]) -> pa.Schema:

@@ -25,6 +25,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -77,8 +78,11 @@ def _marked(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def _runs(packed: tuple) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
     offsets, points = classes(packed[0].column("text"))
     g = grams(offsets, points)
-    keys, at = np.unique(g, return_inverse=True)
-    return packed[0], offsets, keys, at
+    at, found = pd.factorize(g)  # by a hash table: runs are many, different ones few
+    order = np.argsort(found)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return packed[0], offsets, found[order], place[at]
 
 
 def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -153,7 +157,9 @@ def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
         c = np.bincount(at, weights=np.concatenate([c for _, c in got]), minlength=len(keys)).astype(np.int64)
         return pa.table({"shard": pa.array(np.full(len(keys), key[0].as_py()), pa.int32()), "g": pa.array(keys.view(np.int64)), "c": pa.array(c)})
 
-    asked = cut(asks.groupBy("shard").applyInArrow(summed, "shard int, g long, c long"))
+    # The counts are another job, which needs the blocks' keys only: its blocks aren't dealt out.
+    direct = B.asked(B.mapped(marked, ("doc_id", "text", "lang", "trusted"), lambda t: (b"", B.pack(t, level=3)), None), ask, shards, n, with_body=True)
+    asked = cut(direct.groupBy("shard").applyInArrow(summed, "shard int, g long, c long"))
     known = cut(logs(asked))
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
