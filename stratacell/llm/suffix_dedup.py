@@ -175,34 +175,32 @@ class Stretches:
 class Questions:
     """The block's distinct stretches (or single windows, of common hashes) that may recur, and where each window's answer is."""
 
-    def __init__(self, own: Stretches, by: dict[int, tuple], shards: int) -> None:
+    def __init__(self, own: Stretches, by: dict[int, tuple], shards: int, homes: int) -> None:
         kind = own.kinds(by, shards)
         some, common = np.flatnonzero(kind == 1), np.flatnonzero(kind == 2)
-        single = B.ragged(own.start[common], own.n[common])
-        start = np.append(own.start[some], single)
-        self.n = np.append(own.n[some], np.ones(len(single), np.int64))
-        self.text = np.append(own.text[some], np.repeat(own.text[common], own.n[common]))
-        size = self.n + own.window - 1
+        start = np.append(own.start[some], B.ragged(own.start[common], own.n[common]))
+        n = np.append(own.n[some], np.ones(len(start) - len(some), np.int64))
+        of = np.append(some, np.repeat(common, own.n[common]))
+        self.start, self.n, self.text, single = start, n, own.text[of], kind[of] == 2
+        size = n + own.window - 1
         bytes_ = own.data[B.ragged(start, size)]
         found = B.strings(bytes_, np.concatenate([[0], np.cumsum(size)])).cast(pa.large_binary(), safe=False).dictionary_encode() if len(size) else None
-        self.start = start
         self.index = found.indices.to_numpy().astype(np.int64) if found else np.zeros(0, np.int64)
         self.distinct = found.dictionary if found else pa.array([], pa.large_binary())
         m = len(self.distinct)
         self.first, self.count, home = np.full(m, LATEST), np.zeros(m, np.int64), np.zeros(m, np.uint64)
         np.minimum.at(self.first, self.index, own.first[self.text])
         self.count[self.index] = self.n
-        key = own.keys[own.key]
-        home[self.index[: len(some)]] = mixed(key[some])
-        if len(single):
-            hot = np.unique(self.index[len(some) :])
+        home[self.index] = mixed(own.keys[own.key[of]])
+        if single.any():
+            hot = np.unique(self.index[single])
             home[hot] = B.hashes(self.distinct.take(pa.array(hot)))
-        self.shard = B.shard_of(home, shards)
+        self.shard = B.shard_of(home, homes)
 
     def asked(self) -> Iterator[tuple[int, bytes]]:
         for s, part in B.split_by_shard(self.shard):
             size, data = B._plain(self.distinct.take(pa.array(part)).cast(pa.large_string(), safe=False))
-            yield s, B.pack(size, data, self.first[part])
+            yield s, B.pack(size, data, self.first[part], level=6)
 
     def removed(self, own: Stretches, by: dict[int, tuple]) -> np.ndarray:
         """A mask of the block's bytes: those in a window that starts in an earlier document."""
@@ -230,16 +228,24 @@ def which_recur(of: list[int], lists: list[tuple]) -> Iterator[tuple[int, bytes]
         yield block, B.pack(part)
 
 
-def smallest_of(window: int) -> Callable[[list[int], list[tuple]], Iterator[tuple[int, bytes]]]:
+def smallest_of(window: int, run: int) -> Callable[[list[int], list[tuple]], Iterator[tuple[int, bytes]]]:
     def solve(of: list[int], lists: list[tuple]) -> Iterator[tuple[int, bytes]]:
-        index, distinct = [], None
         size = np.concatenate([x[0] for x in lists]).astype(np.int64)
         found = B.strings(np.frombuffer(b"".join(x[1] for x in lists), np.uint8), np.concatenate([[0], np.cumsum(size)])).cast(pa.large_binary(), safe=False).dictionary_encode()
         index, distinct = found.indices.to_numpy().astype(np.int64), found.dictionary
         first = np.full(len(distinct), LATEST)
         np.minimum.at(first, index, np.concatenate([x[2] for x in lists]))
-        doc, begin = groups(distinct.cast(pa.large_string(), safe=False), first, window)
-        n = np.diff(np.append(begin, len(doc)))
+        offsets, data = B.buffers(distinct.cast(pa.large_string(), safe=False))
+        n = np.diff(offsets) - window + 1
+        begin = np.cumsum(n) - n
+        doc = np.repeat(first, n)
+        # Equal windows have one least hash, so a stretch that no other one shares it with needs no sorting.
+        edges = np.stack([offsets[:-1], offsets[:-1] + window - run + 1], axis=1).ravel()  # of each stretch's first window
+        inner = np.minimum.reduceat(np.append(rolled(data, run), np.uint64(0)), edges)[::2] if len(n) else n
+        _, number, times = np.unique(inner, return_inverse=True, return_counts=True)
+        some = np.flatnonzero(times[number] > 1)
+        sorted_doc, _ = groups(distinct.take(pa.array(some)).cast(pa.large_string(), safe=False), first[some], window)
+        doc[B.ragged(begin[some], n[some])] = sorted_doc
         for block, part in zip(of, np.split(index, np.cumsum([len(x[0]) for x in lists])[:-1]), strict=True):
             yield block, B.pack(doc[B.ragged(begin[part], n[part])])
 
@@ -249,7 +255,7 @@ def smallest_of(window: int) -> Callable[[list[int], list[tuple]], Iterator[tupl
 def suffix_dedup(docs: DataFrame, finish: Callable[[pa.Table, list[bytes], list[np.ndarray]], pa.Table], schema: str, window: int = WINDOW, run: int = RUN, block: int = BLOCK) -> DataFrame:
     """What finish makes of a block's rows, kept bytes and masks of removed bytes."""
     n = B.partitions(docs)
-    shards = 8 * n
+    shards, homes = 8 * n, 3 * n  # stretches go to fewer shards, as they pack better together
     found = B.mapped(docs, ("doc_id", "text"), lambda t: (b"", B.pack(t, level=3)), n, block)
     answers = B.answered(B.asked(found, lambda body, k: Stretches(body[0], window, run).asked(k), shards, n, with_body=True), which_recur)
 
@@ -257,11 +263,11 @@ def suffix_dedup(docs: DataFrame, finish: Callable[[pa.Table, list[bytes], list[
         by = _answers(right)
         rows: list[tuple[int, int, bytes]] = []
         for number, body in zip(left.column("block").to_pylist(), left.column("body").to_pylist(), strict=True):
-            rows += [(s, number, a) for s, a in Questions(Stretches(B.unpack(body)[0], window, run), by, shards).asked()]
+            rows += [(s, number, a) for s, a in Questions(Stretches(B.unpack(body)[0], window, run), by, shards, homes).asked()]
         return pa.table({"shard": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([r[1] for r in rows], pa.int64()), "asked": pa.array([r[2] for r in rows], pa.binary())})
 
     asked = found.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(confirm, B.ASK_SCHEMA)
-    second = B.answered(asked, smallest_of(window)).withColumn("shard", (F.col("shard") + shards).cast("int"))
+    second = B.answered(asked, smallest_of(window, run)).withColumn("shard", (F.col("shard") + shards).cast("int"))
 
     def end(left: pa.Table, right: pa.Table) -> pa.Table:
         by = _answers(right)
@@ -269,7 +275,7 @@ def suffix_dedup(docs: DataFrame, finish: Callable[[pa.Table, list[bytes], list[
         for body in left.column("body").to_pylist():
             table = B.unpack(body)[0]
             own = Stretches(table, window, run)
-            gone = Questions(own, by, shards).removed(own, {s - shards: x for s, x in by.items() if s >= shards})
+            gone = Questions(own, by, shards, homes).removed(own, {s - shards: x for s, x in by.items() if s >= shards})
             masks = [gone[lo:hi] for lo, hi in zip(own.offsets[:-1].tolist(), own.offsets[1:].tolist(), strict=True)]
             kept = [own.data[lo:hi][~m].tobytes() for lo, hi, m in zip(own.offsets[:-1].tolist(), own.offsets[1:].tolist(), masks, strict=True)]
             out.append(finish(table, kept, masks))
