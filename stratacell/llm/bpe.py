@@ -168,34 +168,25 @@ def _run(docs: DataFrame, path: str, pattern: str, schema: str, columns) -> Data
     n = B.partitions(docs)
     shards = 8 * n
 
-    def make(t: pa.Table) -> tuple[bytes, bytes]:
-        found = text_chunks(*B.buffers(t.column("text")))
-        return B.pack(*B._plain(found.distinct)), B.pack(t.column("doc_id").combine_chunks(), found.index, found.offsets)
-
-    def dictionary(packed: tuple) -> pa.Array:
-        return B.strings(np.frombuffer(packed[1], np.uint8), np.concatenate([[0], np.cumsum(packed[0], dtype=np.int64)]))
-
-    def ask(packed: tuple, k: int) -> Iterator[tuple[int, bytes]]:
-        return B.word_lists(dictionary(packed), k)
+    def ask(body: tuple, k: int) -> Iterator[tuple[int, bytes]]:
+        return B.word_lists(text_chunks(*B.buffers(body[0].column("text"))).distinct, k)
 
     def solve(of: list[int], lists: list[tuple]) -> Iterator[tuple[int, bytes]]:
-        codec = Codec.of(path, pattern)
         numbers, distinct = B.merged(lists)
-        counts, ids = codec.encode_chunks(distinct.to_pylist())
-        decoded = codec.decode_words(counts, ids)
-        starts, size = np.cumsum(counts) - counts, np.fromiter(map(len, decoded), np.int64, len(decoded))
-        flat = np.frombuffer(b"".join(decoded), np.uint8)
-        at = np.cumsum(size) - size
+        counts, ids = Codec.of(path, pattern).encode_chunks(distinct.to_pylist())
+        starts = np.cumsum(counts) - counts
         for block, x in zip(of, numbers, strict=True):
-            yield block, B.pack(counts[x].astype(np.uint32), ids[B.ragged(starts[x], counts[x])], size[x].astype(np.uint32), flat[B.ragged(at[x], size[x])].tobytes())
+            yield block, B.pack(B.tight(counts[x]), B.tight(ids[B.ragged(starts[x], counts[x])]), level=3)
 
-    def finish(packed: tuple, body: tuple, by: dict[int, tuple]) -> pa.Table:
-        distinct = dictionary(packed)
-        doc_id, index, offsets = body
+    def finish(_: tuple, body: tuple, by: dict[int, tuple]) -> pa.Table:
+        doc_id = body[0].column("doc_id")
+        distinct, index, offsets = (lambda w: (w.distinct, w.index, w.offsets))(text_chunks(*B.buffers(body[0].column("text"))))
         starts, counts = B.rows_by_word(distinct, shards, by)
-        at, size = B.rows_by_word(distinct, shards, {s: (a[2],) for s, a in by.items()})
-        every = np.concatenate([np.zeros(0, np.uint32), *(by[s][1] for s in sorted(by))])
-        flat = np.frombuffer(b"".join(by[s][3] for s in sorted(by)), np.uint8)
+        every = np.concatenate([np.zeros(0, np.uint32), *(by[s][1].astype(np.uint32) for s in sorted(by))])
+        # Of each distinct chunk, the bytes that its ids stand for.
+        parts = Codec.of(path, pattern).decode_words(counts, every[B.ragged(starts, counts)])
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        at, flat = np.cumsum(size) - size, np.frombuffer(b"".join(parts), np.uint8)
         ids, decoded = [], []
         for lo, hi in zip(offsets[:-1], offsets[1:], strict=True):
             x = index[lo:hi]
@@ -203,8 +194,8 @@ def _run(docs: DataFrame, path: str, pattern: str, schema: str, columns) -> Data
             decoded.append(flat[B.ragged(at[x], size[x])].tobytes())
         return pa.table({"doc_id": pc.cast(doc_id, pa.int64()), **columns(ids, decoded)})
 
-    found = B.mapped(docs, ("doc_id", "text"), make, n)
-    return B.finished(found, B.answered(B.asked(found, ask, shards, n), solve), finish, schema)
+    found = B.mapped(docs, ("doc_id", "text"), lambda t: (b"", B.pack(t, level=3)), n)
+    return B.finished(found, B.answered(B.asked(found, ask, shards, n, with_body=True), solve), finish, schema)
 
 
 def digests(ids: list[np.ndarray], decoded: list[bytes]) -> dict[str, pa.Array]:

@@ -92,12 +92,12 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END,
         counts, ids = encode_words(path, distinct.to_pylist())
         starts = np.cumsum(counts) - counts
         for block, x in zip(of, numbers, strict=True):
-            yield block, B.pack(counts[x].astype(np.uint32), ids[B.ragged(starts[x], counts[x])].astype(np.uint32))
+            yield block, B.pack(B.tight(counts[x]), B.tight(ids[B.ragged(starts[x], counts[x])]))
 
     def finish(packed: tuple, body: tuple, by: dict[int, tuple]) -> pa.Table:
         doc_id, index, offsets = body
         starts, counts = B.rows_by_word(dictionary(packed), shards, by)
-        every = np.concatenate([np.zeros(0, np.uint32), *(by[s][1] for s in sorted(by))])
+        every = np.concatenate([np.zeros(0, np.uint32), *(by[s][1].astype(np.uint32) for s in sorted(by))])
         rows: list[tuple] = []
         for d, lo, hi in zip(doc_id.to_pylist(), offsets[:-1], offsets[1:], strict=True):
             x = index[lo:hi]
