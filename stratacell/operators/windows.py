@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratacell.operators.linkage import cut
+
 
 def average_rank(value: str, *by: str) -> Column:
     """The rank in the group, ties sharing their mean rank."""
@@ -21,14 +23,6 @@ def within_key_score(panel: DataFrame, key: str, value: str) -> DataFrame:
     return ranked.withColumn("z", F.round(z, 6)).drop("_n", "_sd", "_mean", "_rank")
 
 
-def benjamini_hochberg(tests: DataFrame, p: str, *by: str, tie: str) -> Column:
-    """q of each test: the least p m / rank among the tests at or above its rank. One row a test, so a family is small."""
-    own = Window.partitionBy(*by)
-    order = own.orderBy(p, tie)
-    raw = F.col(p) * F.count(p).over(own) / F.row_number().over(order)
-    return raw
-
-
 def adjusted(tests: DataFrame, p: str, tie: str, *by: str) -> DataFrame:
     """tests with bh_q and holm_p within each family."""
     own = Window.partitionBy(*by)
@@ -63,7 +57,7 @@ def merged_intervals(df: DataFrame, by: list[str], start: str, end: str, tie: st
 def global_rank(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
     """1..n over all rows without one task that holds them all: ranks within ranges, plus the rows of the ranges before."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
+    ranged = cut(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))  # dealt once: two plans would sample other bounds
     counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row a range
     own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))

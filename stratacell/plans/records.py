@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stratacell.functions import text as X
 from stratacell.operators import estimates as E
 from stratacell.operators import linkage as L
 from stratacell.operators.windows import hash_unit
@@ -43,12 +44,12 @@ def digits_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.when(d[0] != d[1], "differs").otherwise("same").alias("verdict"), d[0].alias("first"))
 
 
-@query("""SELECT item_id, regexp_extract(s, '^(.*) \\(([^()]*)\\)$', 1) AS quote, regexp_extract(s, '^(.*) \\(([^()]*)\\)$', 2) AS locator FROM (SELECT item_id, substr(text, 1, 30) || ' (line ' || item_id || ')' AS s FROM benchmark WHERE NOT contains(text, chr(10)))""")
+@query("""SELECT item_id, text AS quote, 'lines ' || item_id || ' (a (b))' AS locator FROM benchmark""")
 def evidence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A quote and the locator in parentheses after it."""
-    s = F.concat(F.substring("text", 1, 30), F.lit(" (line "), F.col("item_id").cast("string"), F.lit(")"))
-    p = r"^(.*) \(([^()]*)\)$"
-    return table(spark, sf_dir, "benchmark").filter(~F.col("text").contains("\n")).select("item_id", F.regexp_extract(s, p, 1).alias("quote"), F.regexp_extract(s, p, 2).alias("locator"))
+    """A quote and the locator after it, in the last parentheses that balance."""
+    s = F.concat("text", F.lit(" (lines "), F.col("item_id").cast("string"), F.lit(" (a (b)))"))
+    quote, locator = X.evidence_split(s)
+    return table(spark, sf_dir, "benchmark").select("item_id", quote.alias("quote"), locator.alias("locator"))
 
 
 @query("""SELECT doc_id, coalesce(try_cast(regexp_extract(text, '\\b((19|20)[0-9]{2})\\b', 1) AS BIGINT), 1990 + doc_id % 7) AS year, CASE WHEN regexp_matches(text, '\\b(19|20)[0-9]{2}\\b') THEN 'text' ELSE 'id' END AS origin FROM documents""")

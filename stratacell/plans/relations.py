@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stratacell.functions import text as X
 from stratacell.operators import linkage as L
 from stratacell.operators import windows as W
 from stratacell.plans.registry import query
@@ -185,7 +186,7 @@ def pending_work(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", F.when(F.col("n_chars") % 3 == 0, "stale").otherwise("current").alias("route"))
 
 
-LINKS = """k AS (SELECT doc_id, md5(text) AS h FROM documents), p AS (SELECT doc_id, md5(substr(text, 1, 40)) AS h FROM documents),
+LINKS = """k AS (SELECT doc_id, md5(text) AS h FROM documents), p AS (SELECT doc_id, md5(regexp_replace(lower(text), '[^a-z0-9]', '', 'g')) AS h FROM documents),
 links AS (SELECT r.a, k.doc_id AS b FROM k JOIN (SELECT h, min(doc_id) AS a FROM k GROUP BY h HAVING count(*) > 1) r USING (h) WHERE a <> k.doc_id
   UNION SELECT r.a, p.doc_id FROM p JOIN (SELECT h, min(doc_id) AS a FROM p GROUP BY h HAVING count(*) > 1) r USING (h) WHERE a <> p.doc_id),
 both_ways AS (SELECT a AS x, b AS y FROM links UNION SELECT b, a FROM links)"""
@@ -193,7 +194,7 @@ both_ways AS (SELECT a AS x, b AS y FROM links UNION SELECT b, a FROM links)"""
 
 def roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    links = L.star_links(docs, "doc_id", F.md5("text")).union(L.star_links(docs, "doc_id", F.md5(F.substring("text", 1, 40))))
+    links = L.star_links(docs, "doc_id", F.md5("text")).union(L.star_links(docs, "doc_id", F.md5(X.squash(F.col("text")))))
     return L.components(docs, "doc_id", links)
 
 
@@ -258,11 +259,11 @@ def inverted_memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.array_join(s.cast("array<string>"), ",").alias("suppliers"), F.size(s).cast("long").alias("n"))
 
 
-@query("""WITH c AS (SELECT l_suppkey AS s, l_partkey AS p FROM lineitem WHERE l_quantity >= 45 GROUP BY ALL), n AS (SELECT s, count(*) AS n FROM c GROUP BY s), o AS (SELECT x.s AS a, y.s AS b, count(*) AS shared FROM c x JOIN c y USING (p) WHERE x.s < y.s GROUP BY ALL)
+@query("""WITH c AS (SELECT l_suppkey AS s, l_partkey AS p FROM lineitem GROUP BY ALL), n AS (SELECT s, count(*) AS n FROM c GROUP BY s), o AS (SELECT x.s AS a, y.s AS b, count(*) AS shared FROM c x JOIN c y USING (p) WHERE x.s < y.s GROUP BY ALL)
 SELECT a, b, shared, round(1 - shared / (na.n + nb.n - shared), 6) AS distance FROM o JOIN n na ON na.s = a JOIN n nb ON nb.s = b""")
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distances of suppliers by shared parts: the join is on the part, of which one has few suppliers."""
-    c = table(spark, sf_dir, "lineitem").filter("l_quantity >= 45").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).distinct()
+    c = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).distinct()
     n = c.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
     pairs = c.withColumnRenamed("s", "a").join(c.withColumnRenamed("s", "b"), "p").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
     j = pairs.join(n.select(F.col("s").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("s").alias("b"), F.col("n").alias("nb")), "b")
@@ -271,13 +272,13 @@ def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH s AS (SELECT s_suppkey, s_nationkey, s_acctbal, (s_suppkey % 7 = 0) AS hole FROM supplier), r AS (SELECT max(s_acctbal) - min(s_acctbal) AS range FROM s)
 SELECT x.s_suppkey AS a, y.s_suppkey AS b, (1 + (NOT x.hole AND NOT y.hole)::INT) AS shared, round(((x.s_nationkey <> y.s_nationkey)::INT + CASE WHEN x.hole OR y.hole THEN 0 ELSE abs(x.s_acctbal - y.s_acctbal) / range END) / (1 + (NOT x.hole AND NOT y.hole)::INT), 6) AS distance
-FROM s x JOIN s y ON x.s_suppkey < y.s_suppkey, r WHERE x.s_nationkey % 5 = y.s_nationkey % 5""")
+FROM s x JOIN s y ON x.s_suppkey < y.s_suppkey, r""")
 def gower_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gower distance over the dimensions that both have, of entities within one block."""
-    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("nation"), F.when(F.col("s_suppkey") % 7 != 0, F.col("s_acctbal")).alias("x"), (F.col("s_nationkey") % 5).alias("block"))
+    """Gower distance over the dimensions that both have, of all pairs of entities: the matrix is the result, so it is as large as that."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("nation"), F.when(F.col("s_suppkey") % 7 != 0, F.col("s_acctbal")).alias("x"))
     span = table(spark, sf_dir, "supplier").agg((F.max("s_acctbal") - F.min("s_acctbal")).alias("span"))
-    y = s.select("block", F.col("id").alias("b"), F.col("nation").alias("nb"), F.col("x").alias("xb"))
-    pairs = s.join(y, "block").filter("id < b").crossJoin(F.broadcast(span))
+    y = s.select(F.col("id").alias("b"), F.col("nation").alias("nb"), F.col("x").alias("xb"))
+    pairs = s.join(y, F.col("id") < F.col("b")).crossJoin(F.broadcast(span))
     d1, d2 = (F.col("nation") != F.col("nb")).cast("int"), F.abs(F.col("x") - F.col("xb")) / F.col("span")
     shared = 1 + d2.isNotNull().cast("int")
     return pairs.select(F.col("id").alias("a"), "b", shared.alias("shared"), F.round((d1 + F.coalesce(d2, F.lit(0.0))) / shared, 6).alias("distance"))

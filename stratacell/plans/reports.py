@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stratacell.operators import documents as D
 from stratacell.operators import served
+from stratacell.operators.windows import global_rank
 from stratacell.plans.registry import query
 from stratacell.session import table
 
@@ -65,7 +66,7 @@ def top_one_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dictionary_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values as numbers of a sorted dictionary: ranks are taken over distinct values only."""
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
-    codes = lambda c, n: p.select(F.col(c).alias(f"_{c}")).distinct().withColumn(n, (F.row_number().over(Window.orderBy(f"_{c}")) - 1).cast("long"))
+    codes = lambda c, n: global_rank(p.select(F.col(c).alias(f"_{c}")).distinct(), [f"_{c}"], n).withColumn(n, (F.col(n) - 1).cast("long"))
     out = p.join(codes("p_brand", "brand_code"), F.col("p_brand") == F.col("_p_brand")).join(codes("p_type", "type_code"), F.col("p_type") == F.col("_p_type"))
     return out.select("p_partkey", "brand_code", "type_code")
 
@@ -79,10 +80,10 @@ def fallback_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.groupBy("o_custkey").agg(chosen.alias("chosen"), F.count_if(~F.col("ok")).alias("failures"))
 
 
-@query("""SELECT conv_id, string_agg(role || ':' || left(text, 20), '|' ORDER BY turn) AS bundle, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY conv_id""")
+@query("""SELECT conv_id, string_agg(role || ':' || text, '|' ORDER BY turn) AS bundle, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY conv_id""")
 def bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts of each conversation in order; a part is cut before it is gathered."""
-    part = F.struct("turn", F.concat("role", F.lit(":"), F.substring("text", 1, 20)).alias("t"))
+    """Parts of each conversation, whole and in order."""
+    part = F.struct("turn", F.concat("role", F.lit(":"), "text").alias("t"))
     parts = F.transform(F.array_sort(F.collect_list(part)), lambda x: x["t"])
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(parts, "|").alias("bundle"), F.sum(F.length("text")).alias("chars"))
 

@@ -15,9 +15,14 @@ def norm_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.norm_title(F.col("text")).alias("title"))
 
 
-@query("""SELECT page_id, CASE WHEN k = '' THEN NULL ELSE regexp_replace(k, '\\.git$', '') END AS repo FROM (SELECT page_id, regexp_extract(lower(url), '^https?://(?:www\\.)?([^/]+/[^/?#]+/[^/?#]+)', 1) AS k FROM pages)""")
+#: Addresses in the shapes that the rule tells apart, made of a number.
+ADDRESSES = ("https://www.GitHub.com/Owner{0}/Repo.git", "http://gitlab.com/o{0}/r/tree/main/a/b/README.md?x=1#y", "huggingface.co/Org{0}/model/", "https://example.com/o{0}/r", "https://github.com/o{0}")
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'github.com/owner' || o_custkey || '/repo' WHEN 1 THEN 'gitlab.com/o' || o_custkey || '/r/a/b' WHEN 2 THEN 'huggingface.co/org' || o_custkey || '/model' END AS repo FROM orders""")
 def repo_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", T.repo_key(F.col("url")).alias("repo"))
+    url = F.element_at(F.array(*[F.format_string(a.replace("{0}", "%s"), F.col("o_custkey")) for a in ADDRESSES]), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.repo_key(url).alias("repo"))
 
 
 @query("""SELECT item_id, length(regexp_replace(lower(text), '[^a-z0-9]', '', 'g')) AS squashed, contains(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), 'theonen') AS quoted FROM benchmark""")
@@ -39,16 +44,37 @@ def signal_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", *[v.alias(k) for k, v in c.items()], F.when(c["the"] >= 20, "top").when(c["the"] >= 5, "second").otherwise("rest").alias("tier"))
 
 
-@query("""SELECT p_partkey, trim(regexp_replace(p_brand, '[\\s#_-]*v?[0-9]+(?:\\.[0-9]+)*$', '')) AS base, regexp_extract(p_brand, '([0-9]+)(?:\\.[0-9]+)*$', 1)::BIGINT AS major FROM part""")
+@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'tool' WHEN 1 THEN 'tool agent' WHEN 2 THEN 'big tool' WHEN 3 THEN 'tool' ELSE 'plain name' END AS base, CASE WHEN p_partkey % 5 < 4 THEN p_size::BIGINT END AS major FROM part""")
 def version_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base, major = T.version_split(F.col("p_brand"))
+    """Names with a version in each place where one may stand, and without one."""
+    size = F.col("p_size").cast("string")
+    name = F.element_at(F.array(F.concat(F.lit("Tool v"), size, F.lit(".1")), F.concat(F.lit("Tool v"), size, F.lit(" agent")), F.concat(F.lit("Big Tool "), size), F.concat(F.lit("tool"), size, F.lit(".5")), F.lit("Plain  Name")), (F.col("p_partkey") % 5 + 1).cast("int"))
+    base, major = T.version_split(name)
     return table(spark, sf_dir, "part").select("p_partkey", base.alias("base"), major.alias("major"))
 
 
-@query("""SELECT c_custkey, CASE WHEN c_custkey < 26 THEN chr(97 + (c_custkey % 26)::INT) ELSE chr(96 + (c_custkey % 702 // 26)::INT) || chr(97 + (c_custkey % 26)::INT) END AS label, regexp_extract(c_name, '([0-9]+)', 1)::DOUBLE AS number FROM customer WHERE c_custkey < 702""")
+@query("""SELECT c_custkey, CASE WHEN c_custkey >= 18278 THEN chr(97 + ((c_custkey - 18278) // 17576)::INT) ELSE '' END || CASE WHEN c_custkey >= 702 THEN chr(97 + ((c_custkey - 702) // 676 % 26)::INT) ELSE '' END || CASE WHEN c_custkey >= 26 THEN chr(97 + ((c_custkey - 26) // 26 % 26)::INT) ELSE '' END || chr(97 + (c_custkey % 26)::INT) AS label,
+CASE c_custkey % 5 WHEN 0 THEN c_custkey::DOUBLE WHEN 1 THEN 1000 + c_custkey % 1000 WHEN 2 THEN -c_custkey::DOUBLE WHEN 3 THEN NULL ELSE c_custkey + 0.5 END AS number FROM customer""")
 def labels_and_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels exist for the first 702 numbers."""
-    return table(spark, sf_dir, "customer").filter("c_custkey < 702").select("c_custkey", T.letters(F.col("c_custkey")).alias("label"), T.clean_number(F.col("c_name")).alias("number"))
+    """Running letters, and numbers in the decorations that papers use; a range is no number."""
+    k = F.col("c_custkey")
+    text = F.element_at(F.array(F.format_string("(n=500) %s%%", k), F.format_string("~ $1,%03d USD", k % 1000), F.format_string("−%s ± 0.4%%", k), F.format_string("10-%s", k), F.format_string("approx. %s.5 points", k)), (k % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "customer").select("c_custkey", T.letters(k).alias("label"), T.clean_number(text).alias("number"))
+
+
+@query("""SELECT doc_id, 'b' || doc_id AS key, 3 AS keys, text AS body FROM documents""")
+def header_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A header before each whole text, with a key that repeats."""
+    d = table(spark, sf_dir, "documents")
+    meta, body = T.header(F.concat(F.format_string("key: a\ntitle:x: y\nempty:\nkey: b%s\n\n", F.col("doc_id")), "text"))
+    return d.select("doc_id", meta["key"].alias("key"), F.size(meta).alias("keys"), body.alias("body"))
+
+
+@query("""SELECT item_id, regexp_replace('References' || chr(10) || text || chr(10) || text, '\\s+$', '') AS text FROM benchmark""")
+def references_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of contents names the references first; the second heading ends the text."""
+    t = F.concat(F.lit("References\n"), F.col("text"), F.lit("\n"), F.col("text"), F.lit("\n  Bibliography \n[1] x"))
+    return table(spark, sf_dir, "benchmark").select("item_id", T.without_references(t).alias("text"))
 
 
 @query("""SELECT doc_id, array_to_string(list_filter([CASE WHEN regexp_matches(text, '[0-9]{1,3}(\\.[0-9]{1,3}){3}') THEN 'address' END, CASE WHEN regexp_matches(text, '[a-z.]+@[a-z]+\\.[a-z]+') THEN 'mail' END, CASE WHEN regexp_matches(text, '[0-9a-f]{40}') THEN 'token' END], lambda x: x IS NOT NULL), '|') AS leaks FROM documents""")
