@@ -10,6 +10,9 @@ from stratacell.operators import served
 from stratacell.operators.windows import global_rank
 from stratacell.plans.registry import query
 from stratacell.session import table
+from stratacell.sources.bibliography import bibliography
+from stratacell.sources.documents import lists_to_rows
+from stratacell.sources.manual import manuals
 
 
 @query("""WITH q AS (SELECT quantile_cont(o_totalprice, [0, 0.25, 0.5, 0.75, 1]) AS e FROM orders) SELECT least(1 + (o_totalprice >= e[2])::INT + (o_totalprice >= e[3])::INT + (o_totalprice >= e[4])::INT, 4) AS bin, count(*) AS n, min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders, q GROUP BY bin""")
@@ -124,3 +127,49 @@ def served_error(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT o_orderpriority AS "group", count(*) AS n, round(avg((o_orderstatus = 'F')::INT), 6) AS rate FROM orders GROUP BY o_orderpriority""")
 def served_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return served.grouped_rate(table(spark, sf_dir, "orders"), "o_orderpriority", ("o_orderpriority", "o_orderstatus"), F.col("o_orderstatus") == "F")
+
+
+@query("""SELECT l_shipmode AS key, max(n) FILTER (l_suppkey = 1) AS v1, max(n) FILTER (l_suppkey = 2) AS v2, count(DISTINCT n) > 1 AS differs FROM (SELECT l_suppkey, l_returnflag AS l_shipmode, count(*) AS n FROM lineitem GROUP BY ALL) WHERE l_suppkey IN (1, 2) GROUP BY l_shipmode""")
+def served_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two named entities side by side; the filter reaches the scan."""
+    cells = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", F.col("l_returnflag").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    return served.compared(cells, "l_suppkey", "key", "n", [1, 2])
+
+
+@query("""SELECT 'compare 2 to 6 entities, not 7' AS error""")
+def served_compare_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return served.compared(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal"), "s_suppkey", "s_name", "s_acctbal", list(range(7)))
+
+
+@query("""SELECT p_partkey, p_name, (NOT contains(lower(p_name), 'green ring'))::INT AS kind, levenshtein(lower(p_name), 'green ring')::INT AS edits FROM part ORDER BY kind, edits, p_partkey LIMIT 3""")
+def served_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Did you mean: a report of three names."""
+    return served.suggested(table(spark, sf_dir, "part"), "p_partkey", "p_name", "green ring")
+
+
+@query("""SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0])::DOUBLE AS share, round(unnest(quantile_cont(s_acctbal, [0, 0.25, 0.5, 0.75, 1])), 6) AS value, count(s_acctbal) AS n FROM supplier""")
+def served_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return served.quantiles(table(spark, sf_dir, "supplier"), "s_acctbal")
+
+
+@query("""SELECT p_partkey, 'article' AS kind, 'k' || p_partkey AS key, p_name || ' & {Co}' AS title, '20' || lpad((p_partkey % 100)::VARCHAR, 2, '0') AS year, 'House, Ltd' AS publisher FROM part""")
+def bibliography_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part's name through the format of bibliographies and back: strings, joined parts, escapes, inner braces."""
+    n = F.col("p_partkey").cast("string")
+    text = F.concat(F.lit('@string{pub = "House"} text @comment{x}\n@Article{k'), n, F.lit(", Title = {"), "p_name", F.lit(" \\& {Co}}, year = 20"), F.lpad((F.col("p_partkey") % 100).cast("string"), 2, "0"), F.lit(', publisher = pub # ", Ltd"\n}'))
+    e = bibliography(table(spark, sf_dir, "part").select("p_partkey", text.alias("text")), "p_partkey", "text")
+    return e.select("p_partkey", "kind", "key", F.col("fields")["title"].alias("title"), F.col("fields")["year"].alias("year"), F.col("fields")["publisher"].alias("publisher"))
+
+
+@query("""SELECT p_partkey, unnest(['definition', 'value', 'value', 'rule']) AS part, unnest(['', 'yes', p_brand, '']) AS name, unnest([p_name || ' goes on', 'it is said', '', 'the first wins']) AS said FROM part""")
+def manual_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manual of one dimension for each part, as rows."""
+    text = F.concat(F.lit("# Manual\n\n## `dim`\n**Definition:** "), "p_name", F.lit("\ngoes on\n\nValues:\n- `yes`: it is\n  said\n- "), "p_brand", F.lit("\n\nDecision rule:\nthe first wins\n"))
+    return manuals(table(spark, sf_dir, "part").select("p_partkey", text.alias("text")), "p_partkey", "text").select("p_partkey", "part", "name", "said")
+
+
+@query("""SELECT p_partkey, unnest(['Tools/Own', 'Tools']) AS section, unnest([p_brand, 'n']) AS name, unnest(['http://a/' || p_partkey, 'http://b']) AS url FROM part""")
+def listed_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of lists and of rows of tables, with their sections."""
+    text = F.concat(F.lit("# Tools\n## Own\n* ["), "p_brand", F.lit("](http://a/"), F.col("p_partkey").cast("string"), F.lit(") good\n[no](http://c)\n# Tools\n| name | x |\n|---|---|\n| [n](http://b) | 1 |\n"))
+    return lists_to_rows(table(spark, sf_dir, "part").select("p_partkey", text.alias("text")), "p_partkey", "text")

@@ -1,4 +1,4 @@
-"""Structured text to rows: markup pages, bibliographies, lists, embedded JSON. Parsers keep state, so they are Python, a document a call."""
+"""Structured text to rows: markup pages, lists and tables, embedded JSON. Parsers keep state, so they are Python, a document a call."""
 
 from __future__ import annotations
 
@@ -41,45 +41,36 @@ def page_text(html: str | None) -> tuple[str, str]:
     return p.title.strip(), re.sub(r"\s+", " ", " ".join(p.parts)).strip()
 
 
-def bib_entries(text: str) -> Iterator[dict[str, str]]:
-    """Entries of a bibliography: kind, key and fields; braces and quotes may nest."""
-    for m in re.finditer(r"@(\w+)\s*\{\s*([^,\s]+)\s*,", text):
-        at, fields = m.end(), {}
-        while f := re.compile(r"\s*([\w-]+)\s*=\s*").match(text, at):
-            at = f.end()
-            value, at = _bib_value(text, at)
-            fields[f[1].lower()] = value
-            comma = re.compile(r"\s*,").match(text, at)
-            if not comma:
-                break
-            at = comma.end()
-        yield {"kind": m[1].lower(), "key": m[2], **fields}
-
-
-def _bib_value(text: str, at: int) -> tuple[str, int]:
-    if text[at : at + 1] not in ('"', "{"):
-        m = re.compile(r"[^,}\s]*").match(text, at)
-        return m[0], m.end()
-    quoted, depth, start = text[at] == '"', 0, at + 1
-    for i in range(at, len(text)):
-        c = text[i]
-        depth += (c == "{") - (c == "}")
-        if i > at and (quoted and c == '"' and depth == 0 or not quoted and depth == 0):
-            return text[start:i], i + 1
-    return text[start:], len(text)
+LINK = re.compile(r"\[([^\]]+)\]\(([^)\s]+)\)")
 
 
 def list_items(markdown: str) -> Iterator[tuple[str, str, str]]:
-    """Section path, link text and address of each item of a list."""
+    """Section path, link text and address of each link in an item of a list or in a row of a table."""
     path: list[str] = []
     for line in markdown.splitlines():
         if h := re.match(r"(#+)\s+(.*)", line):
             path = path[: len(h[1]) - 1] + [h[2].strip()]
-        elif re.match(r"\s*[-*]\s", line):
-            for name, url in re.findall(r"\[([^\]]+)\]\(([^)\s]+)\)", line):
+        elif re.match(r"\s*(?:[-*]\s|\|)", line) and not re.fullmatch(r"[\s|:-]+", line):
+            for name, url in LINK.findall(line):
                 yield "/".join(path), name, url
 
 
+def lists_to_rows(files: DataFrame, id_: str, text: str) -> DataFrame:
+    """id_, section, name, url of every link in the lists and tables of each file."""
+
+    def run(batches):
+        for p in batches:
+            yield pd.DataFrame([(i, *x) for i, t in zip(p[id_], p[text], strict=True) for x in list_items(t or "")], columns=[id_, "section", "name", "url"])
+
+    return files.select(id_, text).mapInPandas(run, f"{id_} {files.schema[id_].dataType.simpleString()}, section string, name string, url string")
+
+
+def streamed_payload(html: str) -> str:
+    """The text that a page streams to its scripts, as pieces of JSON strings that are pushed to an array."""
+    pieces = re.findall(r'\.push\(\[\s*1\s*,\s*("(?:[^"\\]|\\.)*")\s*\]\)', html)
+    return "".join(json.loads(p) for p in pieces)
+
+
 def embedded_objects(html: str, key: str) -> Iterator[dict]:
     """Every JSON object in a page that has the key at its top level."""
     decode = json.JSONDecoder()

@@ -22,6 +22,40 @@ def resolved(name: str) -> Callable:
     return getattr(import_module(module), f)
 
 
+#: Answers after which a request may be tried again.
+AGAIN = (429, 500, 502, 503, 504)
+
+
+def waits(tries: int, first: float = 1.0, most: float = 60.0, jitter: Callable[[], float] = lambda: 0.0) -> list[float]:
+    """Seconds before each new try: doubled from the first up to the most, with up to as much again."""
+    return [min(most, first * 2**k) * (1 + jitter()) for k in range(tries)]
+
+
+def patient(request: Callable[[], tuple[int, dict, object]], sleep: Callable[[float], None], tries: int = 5, **kind) -> object:
+    """The body of the first good answer. request gives status, headers and body; a server that names a wait is waited for as long, other refusals are errors at once."""
+    for wait in [*waits(tries - 1, **kind), None]:
+        status, headers, body = request()
+        if status < 400:
+            return body
+        if status not in AGAIN or wait is None:
+            raise OSError(f"status {status}")
+        named = headers.get("Retry-After", "")
+        sleep(float(named) if named.replace(".", "", 1).isdigit() else wait)
+    raise AssertionError
+
+
+class Paced:
+    """At least so many seconds between two requests to one host."""
+
+    def __init__(self, seconds: float, clock: Callable[[], float], sleep: Callable[[float], None]) -> None:
+        self.seconds, self.clock, self.sleep, self.last = seconds, clock, sleep, {}
+
+    def wait(self, host: str) -> None:
+        if (early := self.last.get(host, float("-inf")) + self.seconds - self.clock()) > 0:
+            self.sleep(early)
+        self.last[host] = self.clock()
+
+
 class Slice(InputPartition):
     def __init__(self, since: str, until: str) -> None:
         self.since, self.until = since, until

@@ -46,6 +46,18 @@ def read_csv_text(spark: SparkSession, path: str, required: tuple[str, ...] = ()
     return df
 
 
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A table by the suffix of its path; CSV as text."""
+    suffix = path.rstrip("/").rsplit(".", 1)[-1].lower()
+    if suffix == "parquet":
+        return spark.read.parquet(path)
+    if suffix in ("jsonl", "ndjson", "json"):
+        return spark.read.option("multiLine", suffix == "json").json(path)
+    if suffix in ("csv", "tsv"):
+        return read_csv_text(spark, path) if suffix == "csv" else spark.read.option("header", True).option("sep", "\t").csv(path)
+    raise ValueError(f"no reader for {suffix}: {path}")
+
+
 def typed(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
     """Text columns cast where that is possible, empty and unreadable fields null."""
     return df.withColumns({c: F.nullif(F.trim(c), F.lit("")).try_cast(k) for c, k in kinds.items()})

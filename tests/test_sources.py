@@ -6,7 +6,10 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from stratacell.loader import Survey
+from stratacell.sources import bibliography as Bib
 from stratacell.sources import documents as D
+from stratacell.sources import manual as M
 from stratacell.sources import paged as P
 from stratacell.sources import tables as S
 from stratacell.streaming import events as E
@@ -56,8 +59,9 @@ def test_logs(spark, tmp_path):
 
 def test_parsers():
     assert D.page_text("<title>T &amp; t</title><script>x</script><p>a<b>b</b> c</p>") == ("T & t", "a b c")
-    got = list(D.bib_entries('@article{k1, title = {A {B} c}, year = 2024, note = "x, {y}"} junk @misc{k2, url={u}}'))
-    assert got == [{"kind": "article", "key": "k1", "title": "A {B} c", "year": "2024", "note": "x, {y}"}, {"kind": "misc", "key": "k2", "url": "u"}]
+    got = list(Bib.entries('@string{me = {Me}} @article{k1, title = {A {B} c}, year = 2024, note = "x, {"y}" # me} junk @misc(k2, url={u\\_v}) @misc{k3, a = {broken'))
+    assert got == [("article", "k1", {"title": "A {B} c", "year": "2024", "note": 'x, {"y}Me'}), ("misc", "k2", {"url": "u_v"}), ("misc", "k3", {"a": "broken"})]
+    assert D.streamed_payload('x.push([1,"a\\"b"]) y.push([0]) x.push([1, "c"])') == 'a"bc'
     assert list(D.list_items("# A\n## B\n- [n](http://u) text\n# C\n* [m](v)")) == [("A/B", "n", "http://u"), ("C", "m", "v")]
     assert list(D.embedded_objects('x={"a":{"k":1}} y={"k":{"z":2}} {bad', "k")) == [{"k": 1}, {"k": {"z": 2}}]
 
@@ -110,3 +114,46 @@ def test_late_rows_are_dropped_and_runs_go_on(spark, tmp_path):
     write(2, [("late", "2024-01-01 00:05:00"), ("c", "2024-01-01 02:01:00")])
     run()
     assert sorted(r["k"] for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
+
+
+def test_survey(spark):
+    rows = [("a", "Alpha", {"x": ("1", None, None), "y": (None, True, None)}), ("b", "Beta", {"x": ("3", None, None)})]
+    cell = lambda c: (c[0], c[1], c[2], "q", None)
+    e = spark.createDataFrame([(i, n, {k: cell(c) for k, c in d.items()}) for i, n, d in rows], "id string, name string, coding map<string, struct<value: string, not_reported: boolean, unresolved: boolean, evidence: string, note: string>>")
+    s = Survey.of(e, spark.createDataFrame([("x", 0, "one"), ("y", 1, "two")], "key string, ord int, layer string"))
+    assert s.summary().first().asDict() == {"entities": 2, "dimensions": 2, "coded": 2, "not_reported": 1, "unresolved": 0, "missing": 1}
+    assert {r["layer"]: r["rate"] for r in s.not_reported("layer").collect()} == {"one": 0.0, "two": 1.0}
+    assert {(r["state"], r["value"]): r["n"] for r in s.dimension("x").collect()} == {("coded", "1"): 1, ("coded", "3"): 1}
+    assert s.evidence("a", "x").first()["evidence"] == "q" and {r["key"]: r["differs"] for r in s.compare(["a", "b"]).collect()} == {"x": True, "y": False}
+    assert s.compare(["a"]).columns == ["error"] and s.suggest("bet", 1).first()["id"] == "b" and [r["value"] for r in s.spread("x").collect()] == [1.0, 1.5, 2.0, 2.5, 3.0]
+
+
+def test_located_and_packaged(spark, tmp_path, monkeypatch):
+    monkeypatch.delenv("STRATACELL_DATA", raising=False)
+    (tmp_path / "data").mkdir()
+    (tmp_path / "data" / "entities.json").write_text("[]")
+    (tmp_path / "t.csv").write_text("id,n\n1,2\n")
+    (tmp_path / "deep").mkdir()
+    assert M.located("p").how == "given" and M.located(start=str(tmp_path / "deep")).path == str(tmp_path / "data")
+    with pytest.raises(FileNotFoundError):
+        M.located(marker="no such file", start=str(tmp_path))
+    monkeypatch.setenv("STRATACELL_DATA", "/d")
+    assert M.located().path == "/d"
+    got = M.packaged(spark, {"resources": [{"name": "t", "path": "t.csv", "schema": {"fields": [{"name": "n", "type": "integer"}]}}]}, str(tmp_path))
+    assert got["t"].dtypes == [("id", "string"), ("n", "bigint")]
+    with pytest.raises(ValueError):
+        S.read_table(spark, "x.odd")
+
+
+def test_waits():
+    answers, slept = iter([(503, {}, None), (429, {"Retry-After": "7"}, None), (200, {}, "body")]), []
+    assert P.patient(lambda: next(answers), slept.append) == "body" and slept == [1.0, 7.0]
+    with pytest.raises(OSError):
+        P.patient(lambda: (404, {}, None), slept.append)
+    with pytest.raises(OSError):
+        P.patient(lambda: (500, {}, None), slept.append, tries=3)
+    clock, pauses = iter([0.0, 0.0, 0.25, 1.0, 5.0, 5.0]), []
+    p = P.Paced(1.0, lambda: next(clock), pauses.append)
+    for h in ("a", "a", "b"):
+        p.wait(h)
+    assert pauses == [0.75]
