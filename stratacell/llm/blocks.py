@@ -15,7 +15,9 @@ all later steps.
 
 from __future__ import annotations
 
+import ctypes
 import pickle
+import time
 from collections.abc import Callable, Iterator
 from typing import Any, NamedTuple
 
@@ -28,7 +30,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 #: Bytes of text in a block; a single longer document is a block of its own.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
+
+#: Shards for each shuffle partition at least, and bytes of scanned files for each shard at most.
+SHARDS, SHARD_BYTES = 3, 64 << 20
+
+#: Seconds between two times that a worker gives memory back.
+RELEASE_S = 0.5
 
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -42,6 +50,31 @@ ASK_SCHEMA = "shard int, block long, asked binary"
 ANSWER_SCHEMA = "block long, shard int, answer binary"
 
 
+_released = [0.0]
+
+
+def release(after: float = RELEASE_S) -> None:
+    """Give freed memory back to the system, as workers that wait for their next task keep it else."""
+    now = time.monotonic()
+    if now - _released[0] >= after:
+        pa.default_memory_pool().release_unused()
+        if hasattr(ctypes.pythonapi, "malloc_trim"):
+            ctypes.pythonapi.malloc_trim(0)
+        _released[0] = now
+
+
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, with memory given back at times and at the end."""
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(batches):
+            yield batch
+            release()
+        release(0)
+
+    return out
+
+
 class Written(NamedTuple):
     """A table as an Arrow stream, which holds a slice's rows only; pickle would write all that it is a slice of."""
 
@@ -176,7 +209,7 @@ def mapped(df: DataFrame, columns: tuple[str, ...], make: Callable[[pa.Table], t
             dictionary, body = make(t)
             yield pa.RecordBatch.from_pydict({"block": pa.array([part << 32 | k], pa.int64()), "dictionary": [dictionary], "body": [body]}, schema=_schema(("block", pa.int64()), ("dictionary", pa.binary()), ("body", pa.binary())))
 
-    made = df.select(*columns).mapInArrow(run, BLOCK_SCHEMA)
+    made = df.select(*columns).mapInArrow(releasing(run), BLOCK_SCHEMA)
     return made if n is None else made.repartition(n, "block")
 
 
@@ -195,7 +228,7 @@ def asked(blocks: DataFrame, ask: Callable[[tuple, int], Iterator[tuple[int, byt
                     {"shard": [s for s, _ in got], "block": [block] * len(got), "asked": [a for _, a in got]}, schema=_schema(("shard", pa.int32()), ("block", pa.int64()), ("asked", pa.binary()))
                 )
 
-    return blocks.mapInArrow(run, ASK_SCHEMA)  # of all columns, so that the blocks' shuffle is the same one for all steps
+    return blocks.mapInArrow(releasing(run), ASK_SCHEMA)  # of all columns, so that the blocks' shuffle is the same one for all steps
 
 
 def answered(asks: DataFrame, solve: Callable[[list[int], list[tuple]], Iterator[tuple[int, bytes]]]) -> DataFrame:
@@ -207,6 +240,7 @@ def answered(asks: DataFrame, solve: Callable[[list[int], list[tuple]], Iterator
         t = t.take(pa.array(order))
         blocks = t.column("block").to_pylist()
         got = list(solve(blocks, [unpack(x) for x in t.column("asked").to_pylist()]))
+        release()
         return pa.Table.from_pydict({"block": [b for b, _ in got], "shard": [shard] * len(got), "answer": [a for _, a in got]}, schema=_schema(("block", pa.int64()), ("shard", pa.int32()), ("answer", pa.binary())))
 
     return asks.groupBy("shard").applyInArrow(run, ANSWER_SCHEMA)
@@ -218,6 +252,7 @@ def finished(blocks: DataFrame, answers: DataFrame, finish: Callable[[tuple, tup
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         by = {s: unpack(a) for s, a in zip(right.column("shard").to_pylist(), right.column("answer").to_pylist(), strict=True)}
         out = [finish(unpack(d) if d else (), unpack(b), by) for d, b in zip(left.column("dictionary").to_pylist(), left.column("body").to_pylist(), strict=True)]
+        release()
         return pa.concat_tables(out)
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
@@ -239,6 +274,12 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def shards(df: DataFrame) -> int:
+    """How many shards the keys of a table are dealt to: by the bytes of its files, as the plan knows them, and not fewer than the partitions need."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(SHARDS * partitions(df), min(size, 1 << 50) // SHARD_BYTES if size < 1 << 60 else 0)
+
+
 def word_lists(distinct: pa.Array, shards: int) -> Iterator[tuple[int, bytes]]:
     """A dictionary's strings, packed by the shard that owns them."""
     for s, part in split_by_shard(shard_of(hashes(distinct), shards)) if len(distinct) else ():

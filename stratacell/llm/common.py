@@ -32,8 +32,3 @@ def cut(df: DataFrame) -> DataFrame:
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, all else unchanged. lower() is used only where no other character of the text can change under it."""
     return F.when(text.rlike(r"[^\x00-\x7F\p{Ll}\p{Lo}\p{P}\p{Sc}\p{Sm}\p{Nd}]"), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
-
-
-def text_bytes(spark_docs: DataFrame) -> int:
-    """Bytes of text in the table, from one aggregate over one column."""
-    return spark_docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]

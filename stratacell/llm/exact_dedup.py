@@ -77,6 +77,6 @@ WITH d AS (
 ), g AS (
   SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY norm
 )
-SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256
+SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(norm) AS text_sha256
 FROM d JOIN g USING (norm)
 """

@@ -82,7 +82,7 @@ def counted(docs: DataFrame) -> DataFrame:
     """The counts of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in B.text_blocks(batches):
+        for t in B.text_blocks(batches, B.BLOCK_BYTES):
             offsets, data = B.buffers(t.column("text"))
             found = B.words(offsets, data)
             lead = (data & 0xC0) != 0x80
@@ -99,7 +99,7 @@ def counted(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], names=[f.split()[0] for f in COUNTS.split(", ")])
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
-    return chosen.mapInArrow(run, COUNTS)
+    return chosen.mapInArrow(B.releasing(run), COUNTS)
 
 
 def bucket(v: Column) -> Column:
