@@ -4,10 +4,13 @@ Documents go through blocks (see blocks.py): a shard gets each distinct chunk of
 text (white space with the word after it) once, cuts it into the pattern's
 matches, and encodes the distinct matches. A match is a set of rows (word,
 position, end, token), first one a byte. Each step joins the rows that touch
-with the merge table, takes each word's pair of least rank, the leftmost of
-equals, and contracts it; words without a pair leave the recursion. Ids return
-to the blocks and are joined there in the order of the text. Decoding is an
-ordered aggregation of the tokens' bytes.
+with the merge table and contracts each word's pair of least rank from the left
+on: where it occurs several times all that don't overlap, up to the first whose
+new token could take part in a merge of less rank. The recursion
+keeps a row a position, in its last state, so its memory grows with the words'
+bytes and not with the steps; words without a pair leave it. Ids return to the
+blocks and are joined there in the order of the text. Decoding is an ordered
+aggregation of the tokens' bytes.
 
 Defined cases: a null text counts as empty; an empty text has no tokens, and the
 digests of no bytes; repeated rows repeat; an empty table gives an empty result;
@@ -36,27 +39,39 @@ WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 STOPS = np.zeros(256, bool)
 STOPS[list(b".,!?;:|#$%&*")] = True
 
-#: Distinct matches that one recursive query encodes.
-WORDS_A_QUERY = 20_000
+#: Distinct matches that one recursive query encodes, and their bytes; a longer match is alone.
+WORDS_A_QUERY, BYTES_A_QUERY = 20_000, 400_000
+
+#: Bytes of text in a block.
+BLOCK = 8 << 20
 
 SCHEMA = "doc_id long, ids binary, decoded binary"
 
 ENCODE = """
-WITH RECURSIVE state(w, p, e, t, step) AS (
-  SELECT w, p, e, t, 0 FROM start
-  UNION ALL
-  (WITH pairs AS (
-     SELECT a.w, a.p, a.e, b.e AS f, m.rank
-     FROM state a JOIN state b ON a.w = b.w AND a.e = b.p JOIN merges m ON m.pair = a.t::BIGINT * 65536 + b.t
+WITH RECURSIVE state(w, p, e, t) USING KEY (w, p) AS (
+  SELECT w, p, e, t FROM start
+  UNION
+  (WITH live AS (
+     SELECT w, p, e, t FROM recurring.state WHERE e > 0 AND w IN (SELECT w FROM state)
+   ), pairs AS (
+     SELECT a.w, a.p, a.e, b.e AS f, m.rank, m.alone FROM live a JOIN live b ON a.w = b.w AND a.e = b.p JOIN merges m ON m.pair = a.t::BIGINT * 65536 + b.t
    ), least AS (
-     SELECT w, arg_min(struct_pack(p := p, e := e, f := f, rank := rank), rank::BIGINT << 32 | p) AS c FROM pairs GROUP BY w
+     SELECT *, lag(e) OVER (PARTITION BY w ORDER BY p) AS before FROM (SELECT *, min(rank) OVER (PARTITION BY w) AS low FROM pairs) WHERE rank = low
+   ), runs AS (
+     SELECT *, sum((before IS DISTINCT FROM p)::INT) OVER (PARTITION BY w ORDER BY p) AS run FROM least
+   ), free AS (
+     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY w, run ORDER BY p) AS nth FROM runs) WHERE nth % 2 = 1
+   ), made AS (
+     SELECT f.w, f.p, f.rank, unnest([x.t::BIGINT * 65536 + f.rank, f.rank::BIGINT * 65536 + f.rank, f.rank::BIGINT * 65536 + y.t]) AS pair
+     FROM free f LEFT JOIN live x ON f.w = x.w AND f.p = x.e LEFT JOIN live y ON f.w = y.w AND f.f = y.p WHERE f.alone
+   ), last AS (
+     SELECT m.w, min(m.p) AS p FROM made m JOIN lesser l ON m.pair = l.pair AND l.rank < m.rank GROUP BY m.w
+   ), chosen AS (
+     SELECT f.w, f.p, f.e, f.f, f.rank FROM free f LEFT JOIN last ON f.w = last.w WHERE last.p IS NULL OR f.p <= last.p
    )
-   SELECT s.w, s.p, CASE WHEN s.p = c.p THEN c.f ELSE s.e END, CASE WHEN s.p = c.p THEN c.rank ELSE s.t END, step + 1
-   FROM state s JOIN least l ON s.w = l.w WHERE s.p <> c.e)
-), ended AS (
-  SELECT w, p, t, step, max(step) OVER (PARTITION BY w) AS last FROM state
+   SELECT w, p, f, rank FROM chosen UNION ALL SELECT w, e, 0, 0 FROM chosen)
 )
-SELECT w, t FROM ended WHERE step = last ORDER BY w, p
+SELECT w, t FROM state WHERE e > 0 ORDER BY w, p
 """
 
 DECODE = "SELECT w, unhex(string_agg(v.hex, '' ORDER BY p)) AS bytes FROM tokens JOIN vocabulary v USING (t) GROUP BY w ORDER BY w"
@@ -75,9 +90,11 @@ class Codec:
         self.of_byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         pairs = [(a * 65536 + b, r) for token, r in self.ranks.items() for i in range(1, len(token)) if (a := self.ranks.get(token[:i])) is not None and (b := self.ranks.get(token[i:])) is not None]
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
-        merges = pa.table({"pair": pa.array([p for p, _ in pairs], pa.int64()), "rank": pa.array([r for _, r in pairs], pa.int32())})
+        below = {part for p, r in pairs for part in (p >> 16, p & 65535) if r < part}  # tokens that a merge of less rank has as a part
+        merges = pa.table({"pair": pa.array([p for p, _ in pairs], pa.int64()), "rank": pa.array([r for _, r in pairs], pa.int32()), "alone": [r in below for _, r in pairs]})
+        lesser = pa.table({"pair": pa.array([p for p, r in pairs if r < max(p >> 16, p & 65535)], pa.int64()), "rank": pa.array([r for p, r in pairs if r < max(p >> 16, p & 65535)], pa.int32())})
         vocabulary = pa.table({"t": pa.array(list(self.ranks.values()), pa.int32()), "hex": [k.hex() for k in self.ranks]})
-        for name, rows in (("merges", merges), ("vocabulary", vocabulary)):
+        for name, rows in (("merges", merges), ("lesser", lesser), ("vocabulary", vocabulary)):
             self.db.register("rows", rows)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM rows")
             self.db.unregister("rows")
@@ -91,23 +108,31 @@ class Codec:
 
     def encode_words(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each of some matches of the pattern, and all ids."""
-        counts, ids = [], []
-        for at in range(0, len(found), WORDS_A_QUERY):
-            part = found[at : at + WORDS_A_QUERY]
-            n = np.fromiter(map(len, part), np.int64, len(part))
-            whole = np.fromiter((self.ranks.get(x, -1) for x in part), np.int32, len(part))  # a match that is a token is that token
-            data = self.of_byte[np.frombuffer(b"".join(part), np.uint8)]
-            w = np.repeat(np.arange(len(part), dtype=np.int32), n)
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        whole = np.fromiter((self.ranks.get(x, -1) for x in found), np.int64, len(found))  # a match that is a token is that token
+        counts = (whole >= 0).astype(np.int64)
+        rest = np.flatnonzero(whole < 0)
+        rest = rest[np.argsort(size[rest], kind="stable")]  # words of like length need as many steps
+        got: list[np.ndarray] = []
+        at = 0
+        while at < len(rest):
+            fits = np.searchsorted(np.cumsum(size[rest[at : at + WORDS_A_QUERY]]), BYTES_A_QUERY, side="right")
+            part = rest[at : at + max(1, int(fits))]
+            n = size[part]
+            data = self.of_byte[np.frombuffer(b"".join([found[i] for i in part.tolist()]), np.uint8)]
             p = (np.arange(len(data)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
-            rest = whole[w] < 0
-            one = np.flatnonzero(whole >= 0).astype(np.int32)
-            start = pa.table({"w": np.append(w[rest], one), "p": np.append(p[rest], np.zeros_like(one)), "e": np.append(p[rest] + 1, np.ones_like(one)), "t": np.append(data[rest], whole[one])})
+            start = pa.table({"w": np.repeat(np.arange(len(part), dtype=np.int32), n), "p": p, "e": p + 1, "t": data})
             self.db.register("start", start)
-            got = self.db.sql(ENCODE).to_arrow_table()
+            rows = self.db.sql(ENCODE).to_arrow_table()
             self.db.unregister("start")
-            counts.append(np.bincount(got.column("w").to_numpy(), minlength=len(part)))
-            ids.append(got.column("t").to_numpy().astype(np.uint32))
-        return np.concatenate([np.zeros(0, np.int64), *counts]), np.concatenate([np.zeros(0, np.uint32), *ids])
+            counts[part] = np.bincount(rows.column("w").to_numpy(), minlength=len(part))
+            got.append(rows.column("t").to_numpy())
+            at += len(part)
+        starts = np.cumsum(counts) - counts
+        ids = np.zeros(int(counts.sum()), np.uint32)
+        ids[starts[whole >= 0]] = whole[whole >= 0]
+        ids[B.ragged(starts[rest], counts[rest])] = np.concatenate([np.zeros(0, np.int32), *got])
+        return counts, ids
 
     def decode_words(self, counts: np.ndarray, ids: np.ndarray) -> list[bytes]:
         """The bytes of lists of ids, each list's tokens joined in order."""
@@ -166,7 +191,7 @@ def bpe(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def _run(docs: DataFrame, path: str, pattern: str, schema: str, columns) -> DataFrame:
     n = B.partitions(docs)
-    shards = 8 * n
+    shards = B.shards(docs)
 
     def ask(body: tuple, k: int) -> Iterator[tuple[int, bytes]]:
         return B.word_lists(text_chunks(*B.buffers(body[0].column("text"))).distinct, k)
@@ -194,7 +219,7 @@ def _run(docs: DataFrame, path: str, pattern: str, schema: str, columns) -> Data
             decoded.append(flat[B.ragged(at[x], size[x])].tobytes())
         return pa.table({"doc_id": pc.cast(doc_id, pa.int64()), **columns(ids, decoded)})
 
-    found = B.mapped(docs, ("doc_id", "text"), lambda t: (b"", B.pack(t, level=3)), n)
+    found = B.mapped(docs, ("doc_id", "text"), lambda t: (b"", B.pack(t, level=3)), n, BLOCK)
     return B.finished(found, B.answered(B.asked(found, ask, shards, n, with_body=True), solve), finish, schema)
 
 
