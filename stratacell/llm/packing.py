@@ -9,8 +9,10 @@ consumed as often as the counts allow, and what is left is best-fit. The plan is
 a list of patterns with multiplicities; a piece finds its place by its rank
 among the pieces of its length, which is counted by blocks of bounded size.
 
-Defined cases: a null text counts as empty and makes one piece of the end id;
-repeated rows are packed each; an empty table gives an empty result; columns
+Defined cases: a null text counts as empty and makes one piece of the end id; a
+null doc_id stays null; repeated rows are packed each; pieces of equal length
+change places freely, so which of them gets which place is decided by doc_id,
+piece and ids, and among rows equal in all of them by chance; an empty table gives an empty result; columns
 other than doc_id and text are ignored.
 """
 
@@ -76,7 +78,7 @@ def encode_words(path: str, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids) of every piece of every row of docs."""
     n = B.partitions(docs)
-    shards = 8 * n
+    shards = B.shards(docs)
 
     def make(t: pa.Table) -> tuple[bytes, bytes]:
         offsets, data = B.buffers(t.column("text"))
@@ -114,63 +116,93 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END,
     return B.finished(found, B.answered(asks, solve), finish, PIECES + ", ids binary" * with_ids)
 
 
+class Sums:
+    """Which single lengths, pairs and triples add up to a total, under counts of what is left.
+
+    A hash index by total holds where its search goes on: the counts only fall,
+    so a combination that once wasn't there is never looked at again.
+    """
+
+    def __init__(self, counts: dict[int, int], capacity: int) -> None:
+        self.left = [0] * (capacity + 1)
+        for length, n in counts.items():
+            self.left[length] = n
+        self.up, self.down = list(range(capacity + 2)), list(range(capacity + 1))  # links over lengths that are used up
+        self.pairs: dict[int, int] = {}  # total: the least part of the first pair that may be left
+        self.triples: dict[int, int] = {}  # total: the greatest part of the first triple that may be left
+        self.none: set[int] = set()  # totals that no pair has
+
+    def above(self, k: int) -> int:
+        """The least length from k up that is left, or one beyond all."""
+        while k < len(self.left) and not self.left[k]:
+            self.up[k] = max(self.up[k], self.up[min(k + 1, len(self.left))])
+            k = max(self.up[k], k + 1)
+        return k
+
+    def below(self, k: int) -> int:
+        """The greatest length from k down that is left, or 0."""
+        while k > 0 and not self.left[k]:
+            self.down[k] = min(self.down[k], self.down[k - 1])
+            k = min(self.down[k], k - 1)
+        return k
+
+    def has(self, *parts: int) -> bool:
+        return all(self.left[x] >= parts.count(x) for x in parts)
+
+    def pair(self, total: int, *held: int) -> tuple[int, int] | None:
+        """The most unequal pair with that sum that is left beside what is held."""
+        if total in self.none:
+            return None
+        k = self.above(self.pairs.get(total, 1))
+        while 2 * k <= total and not self.left[total - k]:
+            k = self.above(k + 1)
+        self.pairs[total] = k
+        if 2 * k > total:
+            self.none.add(total)
+        while 2 * k <= total:
+            if self.left[total - k] and self.has(total - k, k, *held):
+                return total - k, k
+            k = self.above(k + 1)
+        return None
+
+    def fill(self, gap: int, held: int) -> tuple[int, ...] | None:
+        """One, two or three lengths that fill a gap beside a piece that is held; none for the gap 0."""
+        if gap == 0:
+            return ()
+        if self.left[gap] and self.has(gap, held):
+            return (gap,)
+        if two := self.pair(gap, held):
+            return two
+        k = self.below(self.triples.get(gap, gap - 2)) if gap > 2 else 0
+        while k > 0:
+            if two := self.pair(gap - k, k, held):
+                self.triples[gap] = k
+                return tuple(sorted((k, *two), reverse=True))
+            k = self.below(k - 1)
+        self.triples[gap] = 0
+        return None
+
+
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """Patterns of lengths, each with the number of sequences that have it; every length is used as often as it is counted."""
-    left = np.zeros(capacity + 1, np.int64)
-    for length, n in counts.items():
-        left[length] = n
+    sums = Sums(counts, capacity)
+    left = sums.left
     out: list[tuple[tuple[int, ...], int]] = []
     residual: list[tuple[int, tuple[int, ...], int]] = []
     for length in range(capacity, 0, -1):
-        while left[length]:
-            gap = capacity - length
-            left[length] -= 1  # held, so that it isn't its own complement
-            rest = _fills(left, gap)
-            left[length] += 1
-            if rest is None:
-                break
+        while left[length] and (rest := sums.fill(capacity - length, length)) is not None:
             pattern = (length, *rest)
-            used = {x: pattern.count(x) for x in set(pattern)}
-            times = min(int(left[x]) // n for x, n in used.items())
+            used = {x: pattern.count(x) for x in pattern}
+            times = min(left[x] // n for x, n in used.items())
             for x, n in used.items():
                 left[x] -= n * times
             out.append((pattern, times))
         if left[length]:
-            residual.append((length, (length,), int(left[length])))
+            residual.append((length, (length,), left[length]))
             left[length] = 0
     return out + _best_fit(residual, capacity)
 
 
-def _fills(left: np.ndarray, gap: int) -> tuple[int, ...] | None:
-    """One, two or three lengths that are left and sum up to the gap, the longest first; the gap 0 is filled by none."""
-    if gap == 0:
-        return ()
-    if left[gap]:
-        return (gap,)
-    have = left[: gap + 1] > 0
-    have[0] = False
-
-    def pair(total: int, free: np.ndarray) -> tuple[int, int] | None:
-        a = np.arange(1, total // 2 + 1)
-        both = free[a] & free[total - a]
-        if total % 2 == 0 and total:
-            both[-1] = left[total // 2] >= 2
-        at = np.flatnonzero(both)
-        return (int(total - a[at[0]]), int(a[at[0]])) if len(at) else None
-
-    if two := pair(gap, have):
-        return two
-    for a in np.flatnonzero(have)[::-1].tolist():
-        if gap - a < 2:
-            continue
-        left[a] -= 1
-        two = pair(gap - a, left[: gap + 1] > 0)
-        left[a] += 1
-        if two and two[0] > 0 and two[1] > 0:
-            return tuple(sorted((a, *two), reverse=True))
-    return None
-
-
 def _best_fit(residual: list[tuple[int, tuple[int, ...], int]], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Best-fit decreasing over groups of equal pieces: each goes where it leaves the least room."""
     room: dict[int, list[tuple[tuple[int, ...], int]]] = {}
