@@ -163,3 +163,116 @@ def test_labels_after_more_links(spark):
     first, second = [(0, 1), (1, 2), (5, 6), (8, 9)], [(2, 6), (9, 12), (3, 12), (20, 21)]
     got = {r["node"][0]: r["label"][0] for r in joined_up(components(links(first)), links(second)).collect()}
     assert got == {r["node"][0]: r["label"][0] for r in components(links(first + second)).collect()}
+
+
+def test_pairs_that_share_a_rare_word(spark):
+    from collections import Counter
+
+    from stratacell.llm.near_dedup import sharing_rare_words
+
+    r = random.Random(4)
+    few, texts = 4, []
+    for k in range(60):
+        w = [r.choice("abcdefghijklmnopqrstuvwxyz") + str(r.randint(0, 3)) for _ in range(r.randint(8, 14))]
+        texts.append((bytes([k, 7]) + bytes(14), bytes([k % 20]) + bytes(15), [ord(x[0]) * 16 + int(x[1:]) for x in w]))
+    lists = {n: Counter(w) for n, _, w in texts}
+    named = {n: {(x, i) for x, c in lists[n].items() for i in range(c)} for n in lists}
+    df = Counter(t for s in named.values() for t in s)
+    want = set()
+    for n, g, w in texts:
+        for m, h, v in texts:
+            if n < m and g != h and abs(len(w) - len(v)) <= 0.2 * max(len(w), len(v)) and any(df[t] <= few for t in named[n] & named[m]):
+                want.add(frozenset((n, m)))
+    rows = spark.createDataFrame([(n, g, np.array(w, "<u4").tobytes()) for n, g, w in texts], "node binary, label binary, words binary")
+    by = {int.from_bytes(n[:8], "little", signed=True): n for n, _, _ in texts}
+    got = [frozenset((by[p["x"]], by[p["y"]])) for p in sharing_rare_words(rows, few).collect()]
+    assert set(got) == want and len(got) == len(want) > 20
+
+
+@pytest.mark.parametrize("text", ["a" * 100_000, "7" * 100_000, "#" * 100_000, " " * 100_000, "\n" * 100_000, "=-" * 50_000, "e" * 9_999 + "s", "漢字仮名交文" * 2_000])
+def test_long_matches_are_encoded(text):
+    import public_tokenizers as P
+    import tiktoken
+
+    from stratacell.llm.bpe import Codec
+
+    codec = Codec.of(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    want = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=codec.ranks, special_tokens={}).encode_ordinary(text)
+    n, ids = codec.encode_chunks([text])
+    assert n.tolist() == [len(want)] and ids.tolist() == want
+    assert codec.decode_words(n, ids) == [text.encode()]
+
+
+def test_long_random_letters_are_encoded():
+    """A match of letters in which hardly a pair repeats: as many steps as tokens that it makes, in bounded memory."""
+    import public_tokenizers as P
+    import tiktoken
+
+    from stratacell.llm.bpe import Codec
+
+    r = random.Random(8)
+    text = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9_000))
+    codec = Codec.of(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    assert codec.encode_chunks([text])[1].tolist() == tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=codec.ranks, special_tokens={}).encode_ordinary(text)
+
+
+def test_gradient_is_the_slope_of_the_loss():
+    from stratacell.llm.toxicity import Network, inputs, laid_out, read, windows
+
+    found = read(pa.array(["one two three four, five", "six seven one!", " ".join(f"w{k}" for k in range(60))]))
+    x = inputs(found.distinct)
+    start, length, of = windows(found.offsets)
+    index, mask = laid_out(start, length, found.index)
+    net = Network(3)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    label = np.array([1.0, 0.0, 1.0])
+    loss = lambda: net.gradient(x, index, mask, of, label)[0]
+    g = net.gradient(x, index, mask, of, label)[1]
+    for name, p in net.p.items():
+        dense = np.zeros_like(p)
+        if isinstance(g[name], tuple):
+            np.add.at(dense, *g[name])
+        else:
+            dense += g[name]
+        for at in (np.unravel_index(k, p.shape) for k in np.argsort(-np.abs(dense), axis=None)[:3]):
+            old, step = p[at], 3e-3
+            p[at] = old + step
+            up = loss()
+            p[at] = old - step
+            slope = (up - loss()) / (2 * step)
+            p[at] = old
+            assert slope == pytest.approx(dense[at], rel=3e-2, abs=1e-4), name  # states are of single precision
+
+
+def test_states_are_those_of_a_plain_loop():
+    from stratacell.llm.toxicity import UNIT, Network, sigmoid
+
+    net, r = Network(2), np.random.default_rng(2)
+    v, index = r.standard_normal((5, 16)).astype(np.float32), np.array([[0, 3, 1], [2, 4, 0]])
+    mask = np.array([[True, True, True], [True, True, False]])
+    got = net.states(v, index, mask, "b", None)
+    for n in range(2):
+        h = np.zeros(UNIT)
+        for t in (2, 1, 0):
+            if mask[n, t]:
+                x, u = v[index[n, t]] @ net.p["xb"] + net.p["bb"], h @ net.p["ub"]
+                z, k = sigmoid(x[:UNIT] + u[:UNIT]), sigmoid(x[UNIT : 2 * UNIT] + u[UNIT : 2 * UNIT])
+                h = (1 - z) * np.tanh(x[2 * UNIT :] + k * u[2 * UNIT :]) + z * h
+            assert np.allclose(got[t, n], h, atol=1e-5)
+
+
+def test_packing_of_very_many_lengths_is_quick():
+    import time
+
+    r = np.random.default_rng(3)
+    u, c = np.unique(np.clip(r.lognormal(6, 1.2, 200_000).astype(int) + 1, 1, 4096), return_counts=True)
+    counts = dict(zip(u.tolist(), c.tolist(), strict=True))
+    began = time.process_time()
+    patterns = plan(counts)
+    assert time.process_time() - began < 10
+    used: dict[int, int] = {}
+    for p, n in patterns:
+        for x in p:
+            used[x] = used.get(x, 0) + n
+    assert used == counts
+    assert sum(n for _, n in patterns) <= 1.002 * sum(k * n for k, n in counts.items()) / 4096
