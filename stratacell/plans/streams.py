@@ -13,13 +13,13 @@ from stratacell.streaming import events as S
 
 @query("""SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = S.drained(S.tumbling(spark, sf_dir), "complete")
+    got = S.drained(S.tumbling(spark, sf_dir), "update", ("w", "event_type"))
     return got.select(F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("""WITH s AS (SELECT unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS start, event_type FROM events) SELECT strftime(start, '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n FROM s GROUP BY ALL""")
 def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = S.drained(S.tumbling(spark, sf_dir, "1 hour", slide="30 minutes"), "complete")
+    got = S.drained(S.tumbling(spark, sf_dir, "1 hour", slide="30 minutes"), "update", ("w", "event_type"))
     return got.select(F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n")
 
 

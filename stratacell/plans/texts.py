@@ -10,6 +10,10 @@ from stratacell.plans.registry import query
 from stratacell.session import table
 
 
+#: Runs of benchmark items that are broadcast at most.
+BROADCAST_RUNS = 1_000_000
+
+
 @query("""SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS title FROM documents""")
 def norm_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.norm_title(F.col("text")).alias("title"))
@@ -109,9 +113,11 @@ def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         grams = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(F.col("w"), i, F.lit(8)), " "))
         return w.filter(n > 0).select(key, F.explode(F.array_distinct(grams)).alias("gram"))
 
-    items = runs("benchmark", "item_id")
+    items = runs("benchmark", "item_id").persist()
     size = items.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
-    hits = runs("documents", "doc_id").join(items, "gram").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared"))
+    # A checked count of the items' runs decides whether documents' runs stay where they are.
+    side = F.broadcast(items) if items.count() <= BROADCAST_RUNS else items
+    hits = runs("documents", "doc_id").join(side, "gram").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared"))
     return hits.join(size, "item_id").select("doc_id", "item_id", "shared", F.round(F.col("shared") / F.col("n"), 6).alias("share"))
 
 

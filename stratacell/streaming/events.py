@@ -25,17 +25,23 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(SCHEMA).option("pathGlobFilter", "events.parquet").parquet(folder).withColumn("at", F.col("ts").cast("timestamp"))
 
 
-def drained(stream: DataFrame, mode: str) -> DataFrame:
-    """What a stream gives for the files that are there: appended rows, or the last complete result."""
+def drained(stream: DataFrame, mode: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """What a stream gives for the files that are there: appended rows, the last update of each key, or the last complete result (for session windows, which have no updates)."""
     spark = stream.sparkSession
     out, log = shared_folder(spark, "stream"), shared_folder(spark, "log")
     if mode == "append":
         writer = stream.writeStream.outputMode("append").format("parquet").option("path", out)
+    elif mode == "update":  # state beyond the watermark goes; a batch writes only what it changed
+        writer = stream.writeStream.outputMode("update").foreachBatch(lambda df, k: df.withColumn("_batch", F.lit(k)).write.mode("append").parquet(out))
     else:
         writer = stream.writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out))
     q = writer.option("checkpointLocation", log).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    if mode != "update":
+        return spark.read.schema(stream.schema).parquet(out)
+    rest = [c for c in stream.columns if c not in keys]
+    found = spark.read.schema(stream.schema.add("_batch", "long")).parquet(out)
+    return found.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_r")).select(*keys, "_r.*")
 
 
 def tumbling(spark: SparkSession, folder: str, width: str = "1 hour", late: str = "10 minutes", slide: str | None = None) -> DataFrame:
