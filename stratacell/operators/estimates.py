@@ -15,9 +15,9 @@ def weighted_ratio(units: DataFrame, y: Column, x: Column, weight: Column, strat
     """
     base = units.select(*by, y.cast("double").alias("y"), x.cast("double").alias("x"), weight.cast("double").alias("w"), stratum.alias("stratum")).filter((F.col("w") > 0) & (F.col("x") > 0))
     ratio = base.groupBy(*by).agg((F.sum(F.col("w") * F.col("y")) / F.sum(F.col("w") * F.col("x"))).alias("ratio"), F.count(F.lit(1)).alias("n"))
-    own = base.join(F.broadcast(ratio.select(*by, "ratio")), list(by)) if by else base.crossJoin(F.broadcast(ratio.select("ratio")))
+    own = base.join(ratio.select(*by, "ratio"), list(by)) if by else base.crossJoin(F.broadcast(ratio.select("ratio")))
     per = own.groupBy(*by, "stratum").agg(F.var_samp(F.col("y") - F.col("ratio") * F.col("x")).alias("s2"), F.count(F.lit(1)).alias("nh"), F.sum("x").alias("xh"))
-    per = per.join(F.broadcast(sizes.select("stratum", F.col("size").cast("double").alias("size"))), "stratum")
+    per = per.join(sizes.select("stratum", F.col("size").cast("double").alias("size")), "stratum")
     term = F.when(F.col("nh") > 1, F.col("size") * F.col("size") * (1 - F.col("nh") / F.col("size")) * F.col("s2") / F.col("nh")).otherwise(0.0)
     total = F.sum(F.col("size") * F.col("xh") / F.col("nh"))
     variance = per.groupBy(*by).agg((F.sum(F.greatest(term, F.lit(0.0))) / (total * total)).alias("variance"))
@@ -77,7 +77,7 @@ def pooled(studies: DataFrame, y: str, v: str, by: tuple[str, ...] = ()) -> Data
     q = F.col("swyy") - F.col("swy") * F.col("swy") / F.col("sw")
     c = F.col("sw") - F.col("sww") / F.col("sw")
     first = first.withColumns({"q": q, "tau2": F.when(F.col("k") > 1, F.greatest((q - (F.col("k") - 1)) / c, F.lit(0.0))).otherwise(0.0)})
-    own = studies.join(F.broadcast(first.select(*by, "tau2")), list(by)) if by else studies.crossJoin(F.broadcast(first.select("tau2")))
+    own = studies.join(first.select(*by, "tau2"), list(by)) if by else studies.crossJoin(F.broadcast(first.select("tau2")))
     ws = 1 / (F.col(v) + F.col("tau2"))
     second = own.groupBy(*by).agg(F.sum(ws).alias("s"), F.sum(ws * F.col(y)).alias("sy"))
     out = first.join(second, list(by)) if by else first.crossJoin(second)
@@ -102,7 +102,7 @@ def cramers_v(pairs: DataFrame, a: str, b: str, by: tuple[str, ...] = (), weight
     total = cell.groupBy(*by).agg(F.sum("o").alias("n"), F.sum("ww").alias("ww"), F.countDistinct("a").alias("r"), F.countDistinct("b").alias("c"))
     on = list(by)
     x = cell.select(*by, "a", "b", "o").join(ra, [*on, "a"]).join(rb, [*on, "b"])
-    x = x.join(F.broadcast(total.select(*by, "n")), on) if by else x.crossJoin(F.broadcast(total.select("n")))
+    x = x.join(total.select(*by, "n"), on) if by else x.crossJoin(F.broadcast(total.select("n")))
     # The sum over all cells, empty ones too, of (o - e)^2 / e is n (sum of o^2 / (ra rb) - 1).
     s = x.groupBy(*by).agg(F.sum(F.col("o") * F.col("o") / (F.col("ra") * F.col("rb"))).alias("s"))
     out = total.join(s, on) if by else total.crossJoin(s)

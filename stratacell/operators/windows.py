@@ -46,18 +46,42 @@ def islands(df: DataFrame, by: list[str], at: str, gap: Column) -> DataFrame:
 
 
 def merged_intervals(df: DataFrame, by: list[str], start: str, end: str, tie: str) -> DataFrame:
-    """The union of each group's intervals: by, start, end, n."""
-    order = Window.partitionBy(*by).orderBy(start, end, tie)
-    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    new = df.withColumn("_new", F.when(reach.isNull() | (F.col(start) > reach), 1).otherwise(0))
+    """The union of each group's intervals: by, start, end, n. A group is spread over ranges of starts; what reaches into a range from those before it is one row a range and group."""
+    ranged = in_ranges(df.select(*by, start, end, tie), [*by, start, end, tie])
+    carried = carry(ranged.groupBy("_part", *by).agg(F.max(end).alias("_far")), by, F.max("_far"), "_reach")
+    order = Window.partitionBy("_part", *by).orderBy(start, end, tie)
+    own = ranged.join(carried, ["_part", *by], "left")
+    reach = F.greatest(F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.col("_reach"))
+    new = own.withColumn("_new", F.when(reach.isNull() | (F.col(start) > reach), 1).otherwise(0))
     new = new.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return new.groupBy(*by, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("n")).drop("_island")
+    piece = cut(new.groupBy("_part", *by, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("n")))
+    before = carry(piece.groupBy("_part", *by).agg(F.max("_island").alias("_n")), by, F.sum("_n"), "_before")
+    whole = piece.join(before, ["_part", *by], "left").withColumn("_island", F.col("_island") + F.coalesce("_before", F.lit(0)))
+    return whole.groupBy(*by, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.sum("n").alias("n")).drop("_island")
+
+
+def in_ranges(df: DataFrame, order: list[str]) -> DataFrame:
+    """df dealt by ranges, with the range's number; dealt once, as two plans would sample other bounds."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
+
+
+def carry(parts: DataFrame, by: list[str], total: Column, name: str) -> DataFrame:
+    """For each range and group, an aggregate over the group's earlier ranges: a row a range and group."""
+    return parts.select("_part", *by, total.over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias(name))
+
+
+def group_rank(df: DataFrame, by: list[str], order: list[str], name: str = "rank") -> DataFrame:
+    """1..n within each group without one task that holds a group: ranks within ranges, plus the group's rows in the ranges before."""
+    ranged = in_ranges(df, [*by, *order])
+    before = carry(ranged.groupBy("_part", *by).agg(F.count(F.lit(1)).alias("_n")), by, F.sum("_n"), "_before")
+    own = ranged.withColumn("_own", F.row_number().over(Window.partitionBy("_part", *by).orderBy(*order)))
+    return own.join(before, ["_part", *by]).withColumn(name, F.col("_own") + F.coalesce("_before", F.lit(0))).drop("_part", "_own", "_before")
 
 
 def global_rank(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
     """1..n over all rows without one task that holds them all: ranks within ranges, plus the rows of the ranges before."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = cut(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))  # dealt once: two plans would sample other bounds
+    ranged = in_ranges(df, order)
     counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row a range
     own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
@@ -67,7 +91,7 @@ def global_rank(df: DataFrame, order: list[str], name: str = "rank") -> DataFram
 def quartile_label(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
     """df with bin: lo-hi by the data's own quartiles, the upper edge inside."""
     edges = df.groupBy(*by).agg(F.array_distinct(F.percentile(value, F.array(*[F.lit(q) for q in (0.0, 0.25, 0.5, 0.75, 1.0)]))).alias("edges"))
-    own = df.join(F.broadcast(edges), list(by)) if by else df.crossJoin(F.broadcast(edges))
+    own = df.join(edges, list(by)) if by else df.crossJoin(F.broadcast(edges))
     inner = F.slice("edges", F.lit(2), F.greatest(F.size("edges") - 2, F.lit(0)))
     k = F.size(F.filter(inner, lambda e: e < F.col(value)))
     return own.withColumn("bin", k + 1).withColumns({"lo": F.element_at("edges", F.col("bin")), "hi": F.try_element_at("edges", F.col("bin") + 1)}).drop("edges")

@@ -67,7 +67,7 @@ def under_reporting_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sampled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     own = entities(spark, sf_dir).withColumn("drawn", hash_unit("frame", F.col("doc_id")) < 0.5)
     sizes = own.groupBy(F.col("source").alias("stratum")).agg(F.count(F.lit(1)).alias("size"), F.count_if("drawn").alias("nh"))
-    units = own.filter("drawn").join(F.broadcast(sizes.withColumnRenamed("stratum", "s")), F.col("source").eqNullSafe(F.col("s")))
+    units = own.filter("drawn").join(sizes.withColumnRenamed("stratum", "s"), F.col("source").eqNullSafe(F.col("s")))
     return units.withColumn("weight", F.col("size") / F.col("nh")), sizes.select("stratum", "size")
 
 
@@ -117,7 +117,7 @@ SELECT round(sum(size * p) / sum(size), 6) AS share, round(sqrt(sum(CASE WHEN h.
 def weighted_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     units, sizes = sampled(spark, sf_dir)
     y = (F.col("labelled").isNull() & ~F.col("is_empty")).cast("double")
-    own = units.groupBy(F.col("source").alias("stratum")).agg(F.avg(y).alias("p"), F.count(F.lit(1)).alias("n")).join(F.broadcast(sizes), "stratum")
+    own = units.groupBy(F.col("source").alias("stratum")).agg(F.avg(y).alias("p"), F.count(F.lit(1)).alias("n")).join(sizes, "stratum")
     size = F.col("size").cast("double")
     term = F.when(F.col("n") > 1, size * size * (1 - F.col("n") / size) * F.col("p") * (1 - F.col("p")) / (F.col("n") - 1)).otherwise(0.0)
     return own.agg(F.round(F.sum(size * F.col("p")) / F.sum(size), 6).alias("share"), F.round(F.sqrt(F.sum(term)) / F.sum(size), 6).alias("se"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stratacell.functions import text as X
 from stratacell.operators import estimates as E
 from stratacell.operators import linkage as L
-from stratacell.operators.windows import hash_unit
+from stratacell.operators.windows import group_rank, hash_unit
 from stratacell.plans.registry import query
 from stratacell.plans.relations import HASH
 from stratacell.session import table
@@ -172,8 +172,9 @@ def second_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY sha256('sheet:' || c_custkey::VARCHAR)) AS draw_order FROM customer""")
 def sheet_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("c_mktsegment").orderBy(F.sha2(F.concat(F.lit("sheet:"), F.col("c_custkey").cast("string")), 256))
-    return table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", F.row_number().over(order).cast("long").alias("draw_order"))
+    """Draw order in each stratum by hash; a stratum is spread over ranges."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", F.sha2(F.concat(F.lit("sheet:"), F.col("c_custkey").cast("string")), 256).alias("h"))
+    return group_rank(c, ["c_mktsegment"], ["h"], "draw_order").select("c_custkey", "c_mktsegment", F.col("draw_order").cast("long").alias("draw_order"))
 
 
 @query("""WITH p AS (SELECT l_suppkey % 5 AS a, l_returnflag AS k, count(*) AS n FROM lineitem GROUP BY ALL), d AS (SELECT x.a AS a, y.a AS b, sum(abs(x.n - y.n)) AS d FROM p x JOIN p y USING (k) WHERE x.a < y.a GROUP BY ALL), s AS (SELECT a, b, d FROM d UNION ALL SELECT b, a, d FROM d)

@@ -52,9 +52,10 @@ def duplicated_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT c_custkey, CASE WHEN rn = 1 THEN slug ELSE slug || '-' || rn END AS slug FROM (SELECT c_custkey, lower(c_mktsegment) || '-' || c_nationkey AS slug, row_number() OVER (PARTITION BY c_mktsegment, c_nationkey ORDER BY c_custkey) AS rn FROM customer)""")
 def collision_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rn = F.row_number().over(Window.partitionBy("c_mktsegment", "c_nationkey").orderBy("c_custkey"))
-    c = table(spark, sf_dir, "customer").select("c_custkey", F.concat_ws("-", F.lower("c_mktsegment"), "c_nationkey").alias("slug"), rn.alias("rn"))
-    return c.select("c_custkey", F.when(F.col("rn") == 1, F.col("slug")).otherwise(F.concat_ws("-", "slug", "rn")).alias("slug"))
+    """The first of a slug keeps it, later ones take their number; a much used slug is spread over ranges."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.concat_ws("-", F.lower("c_mktsegment"), "c_nationkey").alias("slug"))
+    ranked = W.group_rank(c, ["slug"], ["c_custkey"], "rn")
+    return ranked.select("c_custkey", F.when(F.col("rn") == 1, F.col("slug")).otherwise(F.concat_ws("-", "slug", "rn")).alias("slug"))
 
 
 EVENT_ISLANDS = """g AS (SELECT user_id, epoch_us(ts) AS t_us, event_id, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t_before FROM events),
