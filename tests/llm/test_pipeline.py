@@ -39,13 +39,31 @@ def test_exact_stage(stages):
     assert Counter((r["doc_id"], r["text"]) for r in stages[2].collect()) == want
 
 
-def test_near_stage_keeps_one_of_each_class(stages):
-    from stratacell.llm.near_dedup import near_classes
+def test_toxicity_stage_drops_what_it_predicts(stages, odd, spark):
+    from stratacell.llm.toxicity import toxicity
 
-    kept = Counter((r["doc_id"], r["text"]) for r in stages[3].collect())
-    classes = near_classes(stages[2]).collect()
-    assert sum(kept.values()) == sum(r["kept"] is not False for r in classes)
-    assert {r["class_id"] for r in classes} == {r["class_id"] for r in near_classes(stages[3]).collect()}
+    toxic = Counter((r["doc_id"], r["predicted"]) for r in toxicity(stages[0], spark.read.parquet(f"{odd[0]}/labels.parquet")).collect())
+    want = Counter({i: n for (i, p), n in toxic.items() if not p})
+    assert Counter(r["doc_id"] for r in stages[1].collect()) == want
+
+
+def test_near_stage_keeps_the_first_of_each_class(stages):
+    from tests.llm.test_queries import distance
+
+    rows = [(r["doc_id"], r["text"]) for r in stages[2].collect()]
+    lists = [re.findall(rb"[^\x20\x09-\x0d]+", key(t).encode()) for _, t in rows]
+    label = list(range(len(rows)))
+    for i, a in enumerate(lists):
+        for j, b in enumerate(lists[:i]):
+            if label[i] != label[j] and (a == b or min(len(a), len(b)) >= 20 and abs(len(a) - len(b)) <= 0.2 * max(len(a), len(b)) and distance(a, b) <= 0.2 * max(len(a), len(b))):
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if v == old else v for v in label]
+    place = lambda i: float("inf") if i is None else i
+    least: dict = {}
+    for (i, _), v in zip(rows, label, strict=True):
+        least[v] = min(least.get(v, float("inf")), place(i))
+    want = Counter(r for r, v in zip(rows, label, strict=True) if place(r[0]) == least[v])
+    assert Counter((r["doc_id"], r["text"]) for r in stages[3].collect()) == want and sum(want.values()) < len(rows)
 
 
 def test_substring_stage(stages):
@@ -66,6 +84,28 @@ def test_substring_stage(stages):
         assert after[i] == (" ".join(x for k, x in enumerate(w) if k not in gone) if gone else before[i])
 
 
+def test_packing_stage(stages):
+    import zlib
+
+    import numpy as np
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    want = Counter()
+    for r in stages[4].collect():
+        ids = np.array(t.encode(r["text"] or "", add_special_tokens=False).ids + [1], "<u4")
+        for k, at in enumerate(range(0, len(ids), 4096)):
+            want[r["doc_id"], k, zlib.crc32(ids[at : at + 4096].tobytes())] += 1
+    got = stages[5].collect()
+    assert Counter((r["doc_id"], r["piece"], r["ids_crc32"]) for r in got) == want
+    ends: dict = {}
+    for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == ends.get(r["sequence_id"], 0)
+        ends[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(ends.values()) <= 4096
+
+
 def test_run(spark, plain):
     got = corpus_pipeline.run(spark, plain[0]).collect()
     assert got and all(r["offset"] + r["length"] <= 4096 for r in got)
