@@ -30,8 +30,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from stratacell.llm import blocks as B
 
-#: Labelled documents to learn from at most, of each class, and their greatest length in bytes.
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_BYTES = 1200, 2000, 12_000
+#: Labelled documents to learn from at most, of each class, and their bytes together.
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_BYTES = 1200, 2000, 64 << 20
 
 #: Words of a window, and from one window's start to the next one's.
 WINDOW, STRIDE = 48, 36
@@ -39,6 +39,9 @@ WINDOW, STRIDE = 48, 36
 #: Passes over the sample, documents of a step, step size, windows of a document in a step; a small sample is passed over more often, for so many steps.
 PASSES, STEP_DOCS, RATE, STEP_WINDOWS, LEAST_STEPS = 6, 32, 0.01, 64, 200
 
+#: Of a sample of so many documents, one of so many is set aside while learning; passes end when the loss on those falls to no less than this share of what it was, or is this small.
+LARGE, ASIDE, ENOUGH, SMALL = 1000, 10, 0.8, 0.002
+
 #: Rows of the embeddings, their width, the unit's width, the attention's width, and lengths of character runs.
 WORD_ROWS, CHAR_ROWS, WIDTH, UNIT, ATTEND, CHARS = 1 << 14, 1 << 15, 16, 12, 8, (3, 4, 5)
 
@@ -258,9 +261,12 @@ def train(texts: list[str], labels: list[int], seed: int = 5, passes: int = PASS
     start, length, of = windows(found.offsets)
     per = np.searchsorted(of, np.arange(len(size) + 1))
     adam = Adam(net.p)
+    # A share of a sample that is large enough isn't learned from but tells when another pass is of no use.
+    apart = use[rng.permutation(len(use))[: len(use) // ASIDE]] if len(use) >= LARGE else use[:0]
+    use = np.setdiff1d(use, apart)
     passes = max(passes, -(-LEAST_STEPS // -(-len(use) // STEP_DOCS)))
     steps = passes * -(-len(use) // STEP_DOCS)
-    done = 0
+    done, best = 0, np.inf
     for _ in range(passes):
         order = rng.permutation(use)
         for at in range(0, len(order), STEP_DOCS):
@@ -275,6 +281,12 @@ def train(texts: list[str], labels: list[int], seed: int = 5, passes: int = PASS
             _, g = net.gradient(x, local.reshape(index.shape), mask, np.repeat(np.arange(len(docs)), [len(w) for w in own]), label[docs])
             adam.step(g, RATE * min(1.0, 2.0 * (1 - done / steps) + 0.02))
             done += 1
+        if len(apart):
+            p = np.clip(scores(net, pa.array([texts[d] for d in apart], pa.string())), 1e-6, 1 - 1e-6)
+            loss = float(-np.mean(label[apart] * np.log(p) + (1 - label[apart]) * np.log(1 - p)))
+            if done >= LEAST_STEPS and (loss > ENOUGH * best or loss < SMALL):
+                break
+            best = min(best, loss)
     return net
 
 
@@ -299,15 +311,19 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learned(docs: DataFrame, labels: DataFrame) -> Network:
-    """A network trained on a bounded sample: of each class, the labelled documents with the smallest hashes."""
-    marked = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    # More ids than are needed, as some documents are longer or missing; their number is bounded, so they are broadcast.
-    some = [marked.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * n).select(F.col("doc_id").alias("id"), "toxic") for k, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
-    ids = F.broadcast(some[0].unionByName(some[1]))
-    own = docs.select("doc_id", "text").filter(F.octet_length("text") <= SAMPLE_BYTES).join(ids, F.col("doc_id") == F.col("id"))
-    one = own.groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))
-    rows = [one.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).collect() for k, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
-    rows = rows[0] + rows[1]
+    """A network trained on a bounded sample: of each class, the labelled documents with the smallest hashes, of any length, as long as all of them fit the sample's bytes."""
+    marked = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    sized = docs.select("doc_id", F.octet_length("text").alias("size")).filter("size IS NOT NULL").join(marked, F.col("doc_id") == F.col("id")).groupBy("doc_id", "toxic").agg(F.max("size").alias("size"))
+    chosen, room = [], SAMPLE_BYTES
+    for k, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN)):
+        for r in sized.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).collect():
+            if r["size"] <= room // (2 if k else 1):
+                chosen.append((r["doc_id"], r["toxic"]))
+                room -= r["size"]
+    if not chosen:
+        return train([], [])
+    ids = docs.sparkSession.createDataFrame(chosen, "id long, toxic int")  # as many as the sample has at most
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("id")).groupBy("doc_id", "toxic").agg(F.max("text").alias("text")).orderBy("doc_id").collect()
     return train([r["text"] for r in rows], [r["toxic"] for r in rows])
 
 
@@ -317,10 +333,10 @@ def scored(docs: DataFrame, net: Network, name: str = "score") -> DataFrame:
     schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in B.text_blocks(batches, B.BLOCK_BYTES // 2):
+        for t in B.text_blocks(batches, B.BLOCK_BYTES):
             yield from t.append_column(name, pa.array(scores(held.value, t.column("text")), pa.float64())).to_batches()
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(B.releasing(run), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
