@@ -1,15 +1,17 @@
 """Substring dedup by repeated-phrase automata.
 
-A window is a run of consecutive words. Which windows recur is found in two
-exchanges between blocks of documents and key shards (see blocks.py). The first
-asks only for each window's least hash among its shorter runs of words, which
-neighbouring windows share; equal windows have equal ones, so a window whose
-least hash no other document has is settled. The second confirms the windows
-that are left by 128-bit hashes of their words and gives the smallest doc_id
-that each starts in. Consecutive confirmed windows with one first document make
-a phrase. Every block compiles its phrases to an Aho-Corasick automaton over
-word numbers and streams all its documents through it; each occurrence in a
-later document than the phrase's first is removed.
+A window is a run of consecutive words. All windows with one least hash among
+their shorter runs of words are kept together: neighbours share it, and equal
+windows have equal ones. A first exchange between blocks of documents and key
+shards (see blocks.py) confirms which of these keys several documents have; a
+window of another key is settled. The stretches of words that are left go to the
+shard of their key, equal ones of a block once. Each shard compiles its
+recurring windows to an Aho-Corasick automaton over word numbers and streams all
+stretches, of all documents, through it. Hashes only decide what meets: it is
+what the automaton locates that counts, and its smallest document that returns
+to the blocks, where windows of later documents are removed. A key that very
+many different stretches have (the end of a common passage, which goes on differently in
+each) is dealt out window by window, so that no shard holds it alone.
 
 Defined cases: a null text has no words; a text shorter than a window keeps all;
 a null doc_id ranks after all others; rows with the same doc_id don't remove
@@ -35,6 +37,9 @@ from stratacell.llm import blocks as B
 #: Words of a window, and of the shorter runs whose least hash stands for it.
 WINDOW, RUN = 13, 6
 
+#: Different stretches with one least hash from which on its windows are dealt out one by one.
+COMMON = 256
+
 #: Stands for a null doc_id.
 LATEST = np.iinfo(np.int64).max
 
@@ -84,122 +89,189 @@ def unpacked_keys(data: bytes) -> np.ndarray:
 
 
 class Windows:
-    """The windows of a block's texts: start, text, least hash."""
+    """The windows of a block's texts, neighbours with one least hash together as stretches: start, number of windows, text, key."""
 
     def __init__(self, table: pa.Table, window: int, run: int) -> None:
+        self.window = window
         self.found = B.words(*B.buffers(table.column("text")))
         self.first = pc.fill_null(pc.cast(table.column("doc_id"), pa.int64()), LATEST).to_numpy()
-        self.h = B.hashes(self.found.distinct)[self.found.index] if len(self.found.distinct) else np.zeros(0, np.uint64)
-        self.start, self.text = starts_within(self.found.offsets, window)
-        small = least(runs(self.h, run, 0x9E3779B97F4A7C15), window - run + 1) if len(self.start) else np.zeros(0, np.uint64)
-        self.least = small[self.start] >> np.uint64(64 - SENT_BITS)
-        self.keys, at = np.unique(self.least, return_inverse=True)
-        self.key = at.astype(np.int32)
-        lo, hi = np.full(len(self.keys), LATEST), np.full(len(self.keys), np.iinfo(np.int64).min)
-        np.minimum.at(lo, self.key, self.first[self.text])
-        np.maximum.at(hi, self.key, self.first[self.text])
-        self.several = lo != hi  # keys that two documents of the block have
+        at, text = starts_within(self.found.offsets, window)
+        if not len(at):
+            self.start, self.n, self.text, self.keys, self.key = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            return
+        self.h = B.hashes(self.found.distinct)[self.found.index]
+        small = least(runs(self.h, run, 0x9E3779B97F4A7C15), window - run + 1)[at]
+        new = np.ones(len(at), bool)
+        new[1:] = (small[1:] != small[:-1]) | (text[1:] != text[:-1])
+        head = np.flatnonzero(new)
+        self.start, self.text, self.n = at[head], text[head], np.diff(np.append(head, len(at)))
+        self.keys, self.key = np.unique(small[head] >> np.uint64(64 - SENT_BITS), return_inverse=True)
 
     def asked(self, shards: int) -> Iterator[tuple[int, bytes]]:
-        for s, part in B.split_by_shard((self.keys % np.uint64(shards)).astype(np.int32)):
-            yield s, B.pack(packed_keys(self.keys[part]), np.packbits(self.several[part]))
-
-    def recurring(self, by: dict[int, tuple], shards: int) -> np.ndarray:
-        """The windows whose least hash recurs, by number."""
-        flags = np.zeros(len(self.keys), bool)
-        for s, part in B.split_by_shard((self.keys % np.uint64(shards)).astype(np.int32)):
-            flags[part] = np.unpackbits(by[s][0], count=len(part)).astype(bool)
-        return np.flatnonzero(flags[self.key])
-
-
-class Confirmed:
-    """The block's distinct windows that may recur, by 128-bit hash, with the smallest document of the block that has each."""
-
-    def __init__(self, w: Windows, which: np.ndarray, window: int) -> None:
-        at = w.start[which]
-        other = mixed(w.h + np.uint64(0x632BE59BD9B4E019))
-        a = runs(w.h, window, 0xD6E8FEB86659FD93)[at] if len(at) else np.zeros(0, np.uint64)
-        b = runs(other, window, 0xA0761D6478BD642F)[at] if len(at) else np.zeros(0, np.uint64)
-        order = np.lexsort((b, a))
-        new = np.ones(len(order), bool)
-        new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
-        self.of = np.empty(len(order), np.int64)
-        self.of[order] = np.cumsum(new) - 1
-        self.a, self.b = a[order][new], b[order][new]
-        self.first = np.full(len(self.a), LATEST)
-        np.minimum.at(self.first, self.of, w.first[w.text[which]])
+        whole = runs(self.h, self.window, 0xD6E8FEB86659FD93) if len(self.key) else np.zeros(0, np.uint64)
+        return keys_asked(self.keys, self.key, self.first[self.text], whole[self.start] ^ mixed(whole[self.start + self.n - 1]), shards)
+
+    def kinds(self, by: dict[int, tuple], shards: int) -> np.ndarray:
+        return kinds_answered(self.keys, self.key, by, shards)
+
+    def spelled(self, start: np.ndarray, size: np.ndarray) -> pa.Array:
+        """Runs of words as text, a space after each word."""
+        offsets, data = B.buffers(self.found.distinct)
+        n = np.diff(offsets)
+        spaced = np.full(len(data) + len(n), 32, np.uint8)
+        spaced[B.ragged(offsets[:-1] + np.arange(len(n)), n)] = data
+        word = self.found.index[B.ragged(start, size)]
+        ends = np.concatenate([[0], np.cumsum(n[word] + 1)])
+        return B.strings(spaced[B.ragged((offsets[:-1] + np.arange(len(n)))[word], n[word] + 1)], ends[np.concatenate([[0], np.cumsum(size)])])
+
+
+def keys_asked(keys: np.ndarray, key: np.ndarray, first: np.ndarray, content: np.ndarray, shards: int) -> Iterator[tuple[int, bytes]]:
+    """A block's keys by shard, with the numbers (255 at most) of its documents and of its different stretches that have each."""
+    n = len(keys)
+    several = [np.minimum(np.bincount(_distinct(key, x), minlength=n), 255).astype(np.uint8) for x in (first, content)]
+    for s, part in B.split_by_shard((keys % np.uint64(shards)).astype(np.int32)):
+        yield s, B.pack(packed_keys(keys[part]), several[0][part], several[1][part])
+
+
+def _distinct(key: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The keys of the different pairs of key and x."""
+    order = np.lexsort((x, key))
+    new = np.ones(len(order), bool)
+    new[1:] = (key[order][1:] != key[order][:-1]) | (x[order][1:] != x[order][:-1])
+    return key[order][new]
 
-    def asked(self, shards: int) -> Iterator[tuple[int, bytes]]:
-        for s, part in B.split_by_shard(B.shard_of(self.a, shards)):
-            yield s, B.pack(packed_keys(self.a[part]), self.b[part].tobytes(), self.first[part])
-
-    def smallest(self, by: dict[int, tuple], shards: int) -> np.ndarray:
-        """Each distinct window's smallest document."""
-        out = self.first.copy()
-        for s, part in B.split_by_shard(B.shard_of(self.a, shards)):
-            out[part] = by[s][0]
-        return out
+
+def kinds_answered(keys: np.ndarray, key: np.ndarray, by: dict[int, tuple], shards: int) -> np.ndarray:
+    """0 for stretches whose key no other document has, 1 for those that may recur, 2 for those of a common key."""
+    out = np.zeros(len(keys), np.uint8)
+    for s, part in B.split_by_shard((keys % np.uint64(shards)).astype(np.int32)):
+        out[part] = by[s][0]
+    return out[key] if len(keys) else out
 
 
 def which_recur(of: list[int], lists: list[tuple]) -> Iterator[tuple[int, bytes]]:
     keys = [unpacked_keys(x[0]) for x in lists]
-    several = [np.unpackbits(x[1], count=len(k)) for x, k in zip(lists, keys, strict=True)]
-    _, at, n = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-    total = n.copy()
-    np.add.at(total, at, np.concatenate(several))
-    ends = np.cumsum([len(k) for k in keys])
-    for block, part in zip(of, np.split(total[at] > 1, ends[:-1]), strict=True):
-        yield block, B.pack(np.packbits(part))
-
-
-def smallest_of(of: list[int], lists: list[tuple]) -> Iterator[tuple[int, bytes]]:
-    a, b, first = [unpacked_keys(x[0]) for x in lists], [np.frombuffer(x[1], np.uint64) for x in lists], [x[2] for x in lists]
-    ends = np.cumsum([len(x) for x in a])
-    a, b, first = np.concatenate(a), np.concatenate(b), np.concatenate(first)
-    order = np.lexsort((first, b, a))
-    new = np.ones(len(order), bool)
-    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
-    out = np.empty_like(first)
-    out[order] = first[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-    for block, part in zip(of, np.split(out, ends[:-1]), strict=True):
+    _, at = np.unique(np.concatenate(keys), return_inverse=True)
+    documents, different = (np.bincount(at, weights=np.concatenate([x[k] for x in lists])) for k in (1, 2))
+    common = (different >= COMMON) & (different >= 2 * np.bincount(at))  # copies of one stretch are one question a block, and so not many
+    kind = (1 * (documents > 1) + 1 * common).astype(np.uint8)
+    for block, part in zip(of, np.split(kind[at], np.cumsum([len(k) for k in keys])[:-1]), strict=True):
         yield block, B.pack(part)
 
 
-def phrases(w: Windows, which: np.ndarray, first: np.ndarray, window: int) -> dict[tuple[int, ...], int]:
-    """Runs of neighbouring windows that started in one earlier document, as word numbers with that document."""
-    later = first < w.first[w.text[which]]
-    at, text, doc = w.start[which][later], w.text[which][later], first[later]
+class Questions:
+    """The block's distinct stretches (or single windows, of common keys) that may recur, and where each window's answer is."""
+
+    def __init__(self, own: Windows, kind: np.ndarray, shards: int) -> None:
+        some, common = np.flatnonzero(kind == 1), np.flatnonzero(kind == 2)
+        self.start = np.append(own.start[some], B.ragged(own.start[common], own.n[common]))
+        self.n = np.append(own.n[some], np.ones(len(self.start) - len(some), np.int64))
+        of = np.append(some, np.repeat(common, own.n[common]))
+        self.text, single = own.text[of], kind[of] == 2
+        found = own.spelled(self.start, self.n + own.window - 1).dictionary_encode()
+        self.index, self.distinct = found.indices.to_numpy().astype(np.int64), found.dictionary
+        m = len(self.distinct)
+        self.first, self.last, self.count, home = np.full(m, LATEST), np.full(m, np.iinfo(np.int64).min), np.zeros(m, np.int64), np.zeros(m, np.uint64)
+        np.minimum.at(self.first, self.index, own.first[self.text])
+        np.maximum.at(self.last, self.index, own.first[self.text])
+        self.count[self.index] = self.n
+        home[self.index] = mixed(own.keys[own.key[of]])
+        if single.any():
+            hot = np.unique(self.index[single])
+            home[hot] = B.hashes(self.distinct.take(pa.array(hot)))
+        self.shard = B.shard_of(home, shards)
+
+    def asked(self) -> Iterator[tuple[int, bytes]]:
+        for s, part in B.split_by_shard(self.shard):
+            size, data = B._plain(self.distinct.take(pa.array(part)))
+            yield s, B.pack(size, data, self.first[part], np.packbits(self.first[part] != self.last[part]), level=3)
+
+    def removed(self, own: Windows, by: dict[int, tuple]) -> np.ndarray:
+        """A mask of the block's words: those in a window that starts in an earlier document."""
+        covered = np.zeros(len(own.found.index) + 1, np.int64)
+        if len(self.index):
+            at, values, base = np.zeros(len(self.count), np.int64), [], 0
+            for s, part in B.split_by_shard(self.shard):
+                at[part] = base + np.cumsum(self.count[part]) - self.count[part]
+                values.append(by[s][0])
+                base += len(values[-1])
+            doc = np.concatenate(values)[B.ragged(at[self.index], self.n)]
+            later = doc < np.repeat(own.first[self.text], self.n)
+            start = B.ragged(self.start, self.n)[later]
+            np.add.at(covered, start, 1)
+            np.add.at(covered, start + own.window, -1)
+        return np.cumsum(covered)[:-1] > 0
+
+
+def located(stretches: pa.Array, first: np.ndarray, several: np.ndarray, window: int) -> np.ndarray:
+    """For every window of distinct stretches, in order, the smallest document that has it; LATEST if it recurs in none.
+
+    Windows that hashes propose as recurring (in two stretches, or in one that
+    several documents have) are the phrases of an Aho-Corasick automaton over
+    word numbers. All stretches stream through it; what it locates, and nothing
+    else, counts as an occurrence.
+    """
+    found = B.words(*B.buffers(stretches))
+    at, of = starts_within(found.offsets, window)
+    out = np.full(len(at), LATEST)
     if not len(at):
-        return {}
-    new = np.ones(len(at), bool)
-    new[1:] = (at[1:] != at[:-1] + 1) | (text[1:] != text[:-1]) | (doc[1:] != doc[:-1])
-    begin = np.flatnonzero(new)
-    end = np.append(begin[1:], len(at)) - 1
-    index = w.found.index.tolist()
-    return {tuple(index[lo : hi + window]): d for lo, hi, d in zip(at[begin].tolist(), at[end].tolist(), doc[begin].tolist(), strict=True)}
-
-
-def removed_words(w: Windows, found: dict[tuple[int, ...], int]) -> np.ndarray:
-    """A mask of the block's words: those in an occurrence of a phrase in a later document than its first."""
-    covered = np.zeros(len(w.found.index) + 1, np.int64)
-    if found:
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for p, d in found.items():
-            automaton.add_word(p, (len(p), d))
-        automaton.make_automaton()
-        index = w.found.index.tolist()
-        for lo, hi, doc in zip(w.found.offsets[:-1].tolist(), w.found.offsets[1:].tolist(), w.first.tolist(), strict=True):
-            for end, (n, d) in automaton.iter(tuple(index[lo:hi])):
-                if d < doc:
-                    covered[lo + end - n + 1] += 1
-                    covered[lo + end + 1] -= 1
-    return np.cumsum(covered)[:-1] > 0
+        return out
+    name = runs(mixed(found.index.astype(np.uint64) + np.uint64(1)), window, 0xD6E8FEB86659FD93)[at]
+    _, one, number, times = np.unique(name, return_index=True, return_inverse=True, return_counts=True)
+    shared = times > 1
+    shared[number[several[of]]] = True
+    index = found.index.tolist()
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    same = np.ones(len(at), bool)
+    for k in range(window):
+        same &= found.index[at + k] == found.index[at[one][number] + k]
+    phrases = 0
+    for i in [*at[one][shared].tolist(), *at[shared[number] & ~same].tolist()]:  # one of each hash, and what shares a hash but not its words
+        key = tuple(index[i : i + window])
+        if key not in automaton:
+            automaton.add_word(key, phrases)
+            phrases += 1
+    if not phrases:
+        return out
+    automaton.make_automaton()
+    place = np.full(len(found.index), -1, np.int64)
+    place[at] = np.arange(len(at))
+    where: list[int] = []
+    which: list[int] = []
+    recur = np.bincount(of, weights=shared[number], minlength=len(first)) > 0
+    for lo, hi in zip(found.offsets[:-1][recur].tolist(), found.offsets[1:][recur].tolist(), strict=True):
+        for end, phrase in automaton.iter(tuple(index[lo:hi])):
+            where.append(lo + end)
+            which.append(phrase)
+    hit, phrase = place[np.array(where, np.int64) - window + 1], np.array(which, np.int64)
+    smallest = np.full(phrases, LATEST)
+    np.minimum.at(smallest, phrase, first[of[hit]])
+    out[hit] = smallest[phrase]
+    return out
+
+
+def smallest_of(window: int) -> Callable[[list[int], list[tuple]], Iterator[tuple[int, bytes]]]:
+    def solve(of: list[int], lists: list[tuple]) -> Iterator[tuple[int, bytes]]:
+        size = np.concatenate([x[0] for x in lists]).astype(np.int64)
+        found = B.strings(np.frombuffer(b"".join(x[1] for x in lists), np.uint8), np.concatenate([[0], np.cumsum(size)])).dictionary_encode()
+        index, distinct = found.indices.to_numpy().astype(np.int64), found.dictionary
+        first = np.full(len(distinct), LATEST)
+        np.minimum.at(first, index, np.concatenate([x[2] for x in lists]))
+        several = np.bincount(index, minlength=len(distinct)) > 1
+        several[index[np.concatenate([np.unpackbits(x[3], count=len(x[0])) for x in lists]).astype(bool)]] = True
+        doc = located(distinct, first, several, window)
+        n = np.diff(B.words(*B.buffers(distinct)).offsets) - window + 1
+        begin = np.cumsum(n) - n
+        for block, part in zip(of, np.split(index, np.cumsum([len(x[0]) for x in lists])[:-1]), strict=True):
+            yield block, B.pack(doc[B.ragged(begin[part], n[part])])
+
+    return solve
 
 
 def substring_dedup(docs: DataFrame, finish: Callable[[pa.Table, list[bytes], np.ndarray, np.ndarray], pa.Table], schema: str | T.StructType, carry: tuple[str, ...] = (), window: int = WINDOW, run: int = RUN) -> DataFrame:
     """What finish makes of a block's rows (doc_id, text and carry), kept words joined by a space, numbers of words, and numbers removed."""
     n = B.partitions(docs)
-    shards = 8 * n
+    shards = B.shards(docs)
     make = lambda t: (b"", B.pack(t, level=3))
     found = B.mapped(docs, ("doc_id", "text", *carry), make, n)
 
@@ -208,33 +280,35 @@ def substring_dedup(docs: DataFrame, finish: Callable[[pa.Table, list[bytes], np
 
     answers = B.answered(B.asked(found, ask, shards, n, with_body=True), which_recur)
 
+    def questions(table: pa.Table, by: dict[int, tuple]) -> tuple[Windows, Questions]:
+        own = Windows(table, window, run)
+        return own, Questions(own, own.kinds(by, shards), shards)
+
     def confirm(left: pa.Table, right: pa.Table) -> pa.Table:
         by = _answers(right)
         rows: list[tuple[int, int, bytes]] = []
         for block, body in zip(left.column("block").to_pylist(), left.column("body").to_pylist(), strict=True):
-            w = Windows(B.unpack(body)[0], window, run)
-            rows += [(s, block, a) for s, a in Confirmed(w, w.recurring(by, shards), window).asked(shards)]
+            rows += [(s, block, a) for s, a in questions(B.unpack(body)[0], by)[1].asked()]
+        B.release()
         return pa.table({"shard": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([r[1] for r in rows], pa.int64()), "asked": pa.array([r[2] for r in rows], pa.binary())})
 
     asked = found.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(confirm, B.ASK_SCHEMA)
-    second = B.answered(asked, smallest_of).withColumn("shard", (F.col("shard") + shards).cast("int"))
+    second = B.answered(asked, smallest_of(window)).withColumn("shard", (F.col("shard") + shards).cast("int"))
 
     def end(left: pa.Table, right: pa.Table) -> pa.Table:
         by = _answers(right)
         out = []
         for body in left.column("body").to_pylist():
             table = B.unpack(body)[0]
-            w = Windows(table, window, run)
-            which = w.recurring(by, shards)
-            c = Confirmed(w, which, window)
-            first = c.smallest({s - shards: x for s, x in by.items() if s >= shards}, shards)
-            gone = removed_words(w, phrases(w, which, first[c.of], window))
+            w, asked_ = questions(table, by)
+            gone = asked_.removed(w, {s - shards: x for s, x in by.items() if s >= shards})
             distinct = w.found.distinct.cast(pa.large_binary()).to_pylist()
             kept, sizes, removed = [], np.diff(w.found.offsets), np.zeros(len(w.found.offsets) - 1, np.int64)
             for i, (lo, hi) in enumerate(zip(w.found.offsets[:-1].tolist(), w.found.offsets[1:].tolist(), strict=True)):
                 removed[i] = int(gone[lo:hi].sum())
                 kept.append(b" ".join([distinct[k] for k in w.found.index[lo:hi][~gone[lo:hi]].tolist()]))
             out.append(finish(table, kept, sizes, removed))
+        B.release()
         return pa.concat_tables(out)
 
     every = answers.unionByName(second)
@@ -265,12 +339,12 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = r"""
 WITH d AS (
-  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+  SELECT row_number() OVER () AS row, doc_id, coalesce(doc_id, 9223372036854775807) AS place, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), starts AS (
-  SELECT row, doc_id, i, min(doc_id) OVER (PARTITION BY md5(array_to_string(list_slice(w, i, i + 12), ' '))) AS first
-  FROM (SELECT row, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)
+  SELECT row, place, i, min(place) OVER (PARTITION BY md5(array_to_string(list_slice(w, i, i + 12), ' '))) AS first
+  FROM (SELECT row, place, w, unnest(range(1, len(w) - 11)) AS i FROM d)
 ), gone AS (
-  SELECT DISTINCT row, unnest(range(i, i + 13)) AS p FROM starts WHERE first < doc_id
+  SELECT DISTINCT row, unnest(range(i, i + 13)) AS p FROM starts WHERE first < place
 ), each AS (
   SELECT row, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d
 ), kept AS (
