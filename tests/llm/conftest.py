@@ -81,3 +81,23 @@ def odd(tmp_path_factory):
 @pytest.fixture(scope="session")
 def empty(tmp_path_factory):
     return write(tmp_path_factory.mktemp("empty"), [])
+
+
+@pytest.fixture(scope="session")
+def many(tmp_path_factory):
+    """Groups on both sides of the least sizes of thresholds: a large language and source, a language that is large over two sources only, and small ones."""
+    r = random.Random(11)
+    vocabulary = passage(r, 80)
+    rows = []
+    for lang, source, n in (("en", "s0", 620), ("de", "s1", 130), ("de", "s2", 130), ("fr", "s3", 40), (None, None, 20)):
+        for _ in range(n):
+            words = [r.choice(vocabulary) for _ in range(r.randint(15, 45))]
+            text = " ".join(words)
+            if r.random() < 0.05:
+                text = r.choice(["### %% " * 12 + text, "\n".join([text[:20]] * 9), "qxzj" * 40 + " " + text, " ".join(words[:8] * 4)])
+            rows.append({"doc_id": len(rows), "text": text, "lang": lang, "source": source, "n_chars": len(text)})
+    folder = tmp_path_factory.mktemp("many")
+    pq.write_table(table(rows), f"{folder}/documents.parquet")
+    marked = [{"doc_id": r["doc_id"], "quality": 1, "toxic": 0} for r in rows]
+    pq.write_table(pa.Table.from_pylist(marked, pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("toxic", pa.int32())])), f"{folder}/labels.parquet")
+    return str(folder), rows

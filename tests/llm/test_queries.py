@@ -214,3 +214,44 @@ def test_perplexity_is_brute_force(spark, plain):
             assert got[i]["perplexity"] == pytest.approx(np.exp(want), rel=1e-4)
             assert got[i]["kept"] == (got[i]["perplexity"] <= got[i]["threshold"])
     assert len({r["kept"] for r in got.values()}) == 2
+
+
+def test_rules_of_large_and_small_groups(spark, many, monkeypatch):
+    """Thresholds of a source, of a language, and of all; the salted join gives the same rows as the broadcast."""
+    from stratacell.llm import quality_rules
+
+    want = sql_rows("op1_quality_rules", many[0])
+    assert len({r["kept"] for r in want if not r["base_failed"]}) == 2
+    same(rows_of(QUERIES["op1_quality_rules"](spark, many[0])), want)
+    monkeypatch.setattr(quality_rules, "BROADCAST_GROUPS", 0)
+    same(rows_of(QUERIES["op1_quality_rules"](spark, many[0])), want)
+
+
+def test_thresholds_of_large_and_small_languages(spark, many, monkeypatch):
+    """A language with enough trusted documents held back has its own threshold, others that of all; ids that aren't broadcast give the same rows."""
+    from stratacell.llm import perplexity as P
+
+    got = {r["doc_id"]: r for r in rows_of(QUERIES["op7_quality_classifier"](spark, many[0]))}
+    held = [r for r in many[1] if zlib.crc32(str(r["doc_id"]).encode()) % P.HELD == 0]
+    assert sum(r["lang"] == "en" for r in held) >= P.LANGUAGE > sum(r["lang"] == "de" for r in held)
+
+    def limit(rows):
+        sketch = sorted(int(np.floor(np.log(got[r["doc_id"]]["perplexity"]) * 1000 + 1e-9)) for r in rows)
+        quartile = lambda k: sketch[-(-len(sketch) * k // 4) - 1] / 1000
+        return np.exp(quartile(3) + max(P.REACH * (quartile(3) - quartile(1)), P.LEAST))
+
+    own, every = limit([r for r in held if r["lang"] == "en"]), limit(held)
+    assert own != every
+    for r in many[1]:
+        x = got[r["doc_id"]]
+        assert x["threshold"] == pytest.approx(own if r["lang"] == "en" else every, rel=2e-3) and x["kept"] == (x["perplexity"] <= x["threshold"])
+    monkeypatch.setattr(P, "BROADCAST_IDS", 0)
+    same(rows_of(QUERIES["op7_quality_classifier"](spark, many[0])), list(got.values()))
+
+
+def test_near_dedup_without_broadcast(spark, plain, monkeypatch):
+    from stratacell.llm import near_dedup
+
+    want = rows_of(QUERIES["op8_near_dedup"](spark, plain[0]))
+    monkeypatch.setattr(near_dedup, "BROADCAST_NODES", 0)
+    same(rows_of(QUERIES["op8_near_dedup"](spark, plain[0])), want)
