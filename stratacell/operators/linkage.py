@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -47,8 +47,10 @@ def canonical(records: DataFrame, root: str, order: list[Column], keep: list[str
 
 
 def sorted_neighbours(records: DataFrame, id_: str, key: str, window: int, block: Column) -> DataFrame:
-    """Pairs of records at most window places apart in the order of key within their block. A place is shared by one row, so pairs grow with window times rows."""
-    ranked = records.select(F.col(id_).alias("id"), F.col(key).alias("key"), block.alias("block")).withColumn("rn", F.row_number().over(Window.partitionBy("block").orderBy("key", "id")))
+    """Pairs of records at most window places apart in the order of key within their block. A place is shared by one row, so pairs grow with window times rows; a large block is spread over ranges."""
+    from stratacell.operators.windows import group_rank
+
+    ranked = group_rank(records.select(F.col(id_).alias("id"), F.col(key).alias("key"), block.alias("block")), ["block"], ["key", "id"], "rn")
     ahead = ranked.select("block", F.col("id").alias("b"), F.col("key").alias("key_b"), "rn")
     near = ranked.select("block", F.col("id").alias("a"), F.col("key").alias("key_a"), F.explode(F.sequence(F.col("rn") + 1, F.col("rn") + window)).alias("rn"))
     return near.join(ahead, ["block", "rn"]).select("a", "b", "key_a", "key_b")
