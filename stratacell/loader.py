@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stratacell.operators.served import compared, quantiles, suggested
 from stratacell.sources.manual import located
-from stratacell.sources.tables import exploded_cells, read_entities
+from stratacell.sources.tables import exploded_cells, fingerprint, read_entities
 
 #: The states of a cell.
 STATES = ("coded", "not_reported", "unresolved", "missing")
@@ -66,3 +66,11 @@ class Survey:
     def spread(self, key: str) -> DataFrame:
         """Quantiles of a dimension's numbers."""
         return quantiles(self.cells.filter(F.col("key") == key).select(F.col("value").try_cast("double").alias("value")), "value")
+
+    def release(self, path: str) -> dict[str, str]:
+        """Every derived table written under a folder: entities, cells, rates by dimension, the summary. Gives each table's fingerprint, which doesn't depend on the order of rows."""
+        tables = {"entities": self.entities.drop("coding"), "cells": self.cells, "rates": self.not_reported(), "summary": self.summary()}
+        for name, df in tables.items():
+            df.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}")
+        spark = self.cells.sparkSession
+        return {name: fingerprint(spark.read.parquet(f"{path}/{name}")) for name in tables}

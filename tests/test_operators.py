@@ -212,3 +212,15 @@ def test_studies_that_are_missing():
 
     assert R.best_by_chance(sizes, blocks, 2) == pytest.approx(poisson_binomial_tail([0.5] * 3 + [0.25] * 2, 2))
     assert 0.4 < R.best_by_chance(np.array([2]), np.array([200_000]), 100_000) < 0.6
+
+
+def test_clusters_are_chosen():
+    x = np.array([0.0, 0.1, 0.2, 5.0, 5.1, 9.0, 9.2])[:, None]
+    gap = lambda v: np.abs(v[:, 0][:, None] - v[:, 0][None, :])
+    label, score = R.chosen_clusters(gap(x))
+    assert label.tolist() == [0, 0, 0, 1, 1, 2, 2] and score > 0.9
+    assert R.average_linkage(gap(x), 2).tolist() == [0, 0, 0, 1, 1, 1, 1]
+    assert R.chosen_clusters(np.zeros((2, 2)))[0].tolist() == [0, 0]
+    two = np.column_stack([np.repeat([0.0, 9.0], 6)] * 10) + np.random.default_rng(1).normal(0, 0.1, (12, 10))
+    euclid = lambda v: np.sqrt(((v[:, None] - v[None]) ** 2).sum(axis=2))
+    assert R.chosen_clusters(euclid(two))[1] > R.null_silhouettes(two, euclid, 5) + 0.1

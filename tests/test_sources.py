@@ -116,7 +116,7 @@ def test_late_rows_are_dropped_and_runs_go_on(spark, tmp_path):
     assert sorted(r["k"] for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
 
 
-def test_survey(spark):
+def test_survey(spark, tmp_path):
     rows = [("a", "Alpha", {"x": ("1", None, None), "y": (None, True, None)}), ("b", "Beta", {"x": ("3", None, None)})]
     cell = lambda c: (c[0], c[1], c[2], "q", None)
     e = spark.createDataFrame([(i, n, {k: cell(c) for k, c in d.items()}) for i, n, d in rows], "id string, name string, coding map<string, struct<value: string, not_reported: boolean, unresolved: boolean, evidence: string, note: string>>")
@@ -125,6 +125,8 @@ def test_survey(spark):
     assert {r["layer"]: r["rate"] for r in s.not_reported("layer").collect()} == {"one": 0.0, "two": 1.0}
     assert {(r["state"], r["value"]): r["n"] for r in s.dimension("x").collect()} == {("coded", "1"): 1, ("coded", "3"): 1}
     assert s.evidence("a", "x").first()["evidence"] == "q" and {r["key"]: r["differs"] for r in s.compare(["a", "b"]).collect()} == {"x": True, "y": False}
+    once, again = s.release(str(tmp_path / "one")), s.release(str(tmp_path / "two"))
+    assert once == again and set(once) == {"entities", "cells", "rates", "summary"} and spark.read.parquet(str(tmp_path / "one" / "cells")).count() == 4
     assert s.compare(["a"]).columns == ["error"] and s.suggest("bet", 1).first()["id"] == "b" and [r["value"] for r in s.spread("x").collect()] == [1.0, 1.5, 2.0, 2.5, 3.0]
 
 
