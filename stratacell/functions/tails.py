@@ -44,7 +44,7 @@ def binomial_two_sided(k: int, n: int) -> float:
     """The exact sign test: twice the smaller tail at a half, 1 at most."""
     if n == 0:
         return 1.0
-    tail = sum(math.comb(n, i) for i in range(min(k, n - k) + 1)) / 2**n
+    tail = math.fsum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2)) for i in range(min(k, n - k) + 1))
     return min(1.0, 2 * tail)
 
 
