@@ -13,7 +13,7 @@ blocks and are joined there in the order of the text. Decoding is an ordered
 aggregation of the tokens' bytes.
 
 Defined cases: a null text counts as empty; an empty text has no tokens, and the
-digests of no bytes; repeated rows repeat; an empty table gives an empty result;
+digests of no bytes; a null doc_id stays null; repeated rows repeat; an empty table gives an empty result;
 columns other than doc_id and text are ignored. No text has special tokens.
 """
 

@@ -14,6 +14,7 @@ all host suffixes gives the verdict.
 Defined cases: a null url, or one without ://, has empty host and path and no
 rule; a url that no rule fits gets the default verdict; repeated rows repeat;
 of two fitting rules with equally long text the one with the longer host wins;
+an empty table gives an empty result, and without rules all get the default;
 columns other than page_id and url are ignored.
 """
 
