@@ -33,8 +33,8 @@ from stratacell.llm.common import cut
 
 CAPACITY, END = 4096, 1
 
-#: Deals, within which pieces are ranked, for each shuffle partition.
-DEALS = 4
+#: Deals, within which pieces are ranked, for each shuffle partition at least, and pieces of one length in a deal at most, on average.
+DEALS, RANKED = 4, 200_000
 
 #: The tokenizer sees no difference between a text and its words one by one, cut before these after an ASCII letter.
 STOPS = np.zeros(256, bool)
@@ -254,12 +254,12 @@ def packed(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
     if not counts:
         return cutted.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     found = places(plan(counts, capacity))
-    blocks = DEALS * B.partitions(docs)
+    blocks = max(DEALS * B.partitions(docs), -(-max(counts.values()) // RANKED))
     dealt = cutted.withColumn("deal", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(blocks)))
     each = dealt.groupBy("length", "deal").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("deal").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     base = each.select("length", "deal", before.alias("base"))
-    # Ranks are counted within the pieces of one length and one deal, a bounded number however frequent the length is.
+    # Ranks are counted within the pieces of one length and one deal; the deals follow the most frequent length.
     within = Window.partitionBy("length", "deal").orderBy("doc_id", "piece", "ids_crc32")
     ranked = dealt.withColumn("rank", F.row_number().over(within) - 1).join(base, ["length", "deal"]).withColumn("rank", F.col("rank") + F.col("base"))
     held = spark.sparkContext.broadcast(found)
