@@ -10,7 +10,7 @@ at two of three positions are sorted and named, names are sorted by recursion,
 the third kind is sorted by its first byte and its neighbour's rank, and the two
 are merged. Adjacent suffixes are compared byte by byte over a window; equal
 ones form a group, and its smallest doc_id returns to the blocks. A hash that
-very many documents have (the end of a common passage, which goes on differently
+very many different stretches have (a common passage that goes on differently
 in each) is dealt out window by window, so that no shard holds it alone.
 
 Defined cases: a null text counts as empty; a text shorter than a window keeps
@@ -31,14 +31,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratacell.llm import blocks as B
-from stratacell.llm.substring_dedup import LATEST, SENT_BITS, _answers, least, mixed, packed_keys, starts_within, unpacked_keys
+from stratacell.llm.substring_dedup import LATEST, SENT_BITS, _answers, keys_asked, kinds_answered, least, mixed, starts_within, which_recur
 
 #: Bytes of a window, and of the shorter runs whose least hash stands for it.
 WINDOW, RUN = 50, 24
 
-#: Documents with one least hash from which on its windows are dealt out one by one.
-COMMON = 256
-
 #: Bytes of text in a block; arrays over positions take many times as much.
 BLOCK = 2 << 20
 
@@ -156,20 +153,11 @@ class Stretches:
         self.keys, self.key = np.unique(small[head] >> np.uint64(64 - SENT_BITS), return_inverse=True)
 
     def asked(self, shards: int) -> Iterator[tuple[int, bytes]]:
-        order = np.lexsort((self.first[self.text], self.key))
-        key, doc = self.key[order], self.first[self.text][order]
-        new = np.ones(len(order), bool)
-        new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-        docs = np.minimum(np.bincount(key[new], minlength=len(self.keys)), 255).astype(np.uint8)
-        for s, part in B.split_by_shard((self.keys % np.uint64(shards)).astype(np.int32)):
-            yield s, B.pack(packed_keys(self.keys[part]), docs[part])
+        whole = rolled(self.data, self.window) if len(self.key) else np.zeros(0, np.uint64)
+        return keys_asked(self.keys, self.key, self.first[self.text], whole[self.start] ^ mixed(whole[self.start + self.n - 1]), shards)
 
     def kinds(self, by: dict[int, tuple], shards: int) -> np.ndarray:
-        """0 for stretches that no other document shares, 1 for those that may recur, 2 for those of a common hash."""
-        out = np.zeros(len(self.keys), np.uint8)
-        for s, part in B.split_by_shard((self.keys % np.uint64(shards)).astype(np.int32)):
-            out[part] = by[s][0]
-        return out[self.key] if len(self.keys) else out
+        return kinds_answered(self.keys, self.key, by, shards)
 
 
 class Questions:
@@ -219,15 +207,6 @@ class Questions:
         return np.cumsum(covered)[:-1] > 0
 
 
-def which_recur(of: list[int], lists: list[tuple]) -> Iterator[tuple[int, bytes]]:
-    keys = [unpacked_keys(x[0]) for x in lists]
-    _, at = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(at, weights=np.concatenate([x[1] for x in lists]))
-    kind = (1 * (total > 1) + 1 * (total >= COMMON)).astype(np.uint8)
-    for block, part in zip(of, np.split(kind[at], np.cumsum([len(k) for k in keys])[:-1]), strict=True):
-        yield block, B.pack(part)
-
-
 def smallest_of(window: int, run: int) -> Callable[[list[int], list[tuple]], Iterator[tuple[int, bytes]]]:
     def solve(of: list[int], lists: list[tuple]) -> Iterator[tuple[int, bytes]]:
         size = np.concatenate([x[0] for x in lists]).astype(np.int64)
@@ -239,11 +218,12 @@ def smallest_of(window: int, run: int) -> Callable[[list[int], list[tuple]], Ite
         n = np.diff(offsets) - window + 1
         begin = np.cumsum(n) - n
         doc = np.repeat(first, n)
-        # Equal windows have one least hash, so a stretch that no other one shares it with needs no sorting.
+        # Equal windows have one least hash, so a stretch that no other one shares it with needs no sorting; nor do stretches of one window each, as different ones share none.
         edges = np.stack([offsets[:-1], offsets[:-1] + window - run + 1], axis=1).ravel()  # of each stretch's first window
         inner = np.minimum.reduceat(np.append(rolled(data, run), np.uint64(0)), edges)[::2] if len(n) else n
         _, number, times = np.unique(inner, return_inverse=True, return_counts=True)
-        some = np.flatnonzero(times[number] > 1)
+        longer = np.bincount(number, weights=n > 1, minlength=len(times)) > 0
+        some = np.flatnonzero((times > 1)[number] & longer[number])
         sorted_doc, _ = groups(distinct.take(pa.array(some)).cast(pa.large_string(), safe=False), first[some], window)
         doc[B.ragged(begin[some], n[some])] = sorted_doc
         for block, part in zip(of, np.split(index, np.cumsum([len(x[0]) for x in lists])[:-1]), strict=True):
@@ -255,7 +235,7 @@ def smallest_of(window: int, run: int) -> Callable[[list[int], list[tuple]], Ite
 def suffix_dedup(docs: DataFrame, finish: Callable[[pa.Table, list[bytes], list[np.ndarray]], pa.Table], schema: str, window: int = WINDOW, run: int = RUN, block: int = BLOCK) -> DataFrame:
     """What finish makes of a block's rows, kept bytes and masks of removed bytes."""
     n = B.partitions(docs)
-    shards, homes = 8 * n, 3 * n  # stretches go to fewer shards, as they pack better together
+    shards = homes = B.shards(docs)
     found = B.mapped(docs, ("doc_id", "text"), lambda t: (b"", B.pack(t, level=3)), n, block)
     answers = B.answered(B.asked(found, lambda body, k: Stretches(body[0], window, run).asked(k), shards, n, with_body=True), which_recur)
 
@@ -264,6 +244,7 @@ def suffix_dedup(docs: DataFrame, finish: Callable[[pa.Table, list[bytes], list[
         rows: list[tuple[int, int, bytes]] = []
         for number, body in zip(left.column("block").to_pylist(), left.column("body").to_pylist(), strict=True):
             rows += [(s, number, a) for s, a in Questions(Stretches(B.unpack(body)[0], window, run), by, shards, homes).asked()]
+        B.release()
         return pa.table({"shard": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([r[1] for r in rows], pa.int64()), "asked": pa.array([r[2] for r in rows], pa.binary())})
 
     asked = found.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(confirm, B.ASK_SCHEMA)
@@ -279,6 +260,7 @@ def suffix_dedup(docs: DataFrame, finish: Callable[[pa.Table, list[bytes], list[
             masks = [gone[lo:hi] for lo, hi in zip(own.offsets[:-1].tolist(), own.offsets[1:].tolist(), strict=True)]
             kept = [own.data[lo:hi][~m].tobytes() for lo, hi, m in zip(own.offsets[:-1].tolist(), own.offsets[1:].tolist(), masks, strict=True)]
             out.append(finish(table, kept, masks))
+        B.release()
         return pa.concat_tables(out)
 
     return found.groupBy("block").cogroup(answers.unionByName(second).groupBy("block")).applyInArrow(end, schema)
