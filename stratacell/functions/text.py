@@ -175,6 +175,11 @@ def letters(n: Column) -> Column:
     return F.when(n >= 0, F.aggregate(F.sequence(F.lit(1), F.lit(11)), start, step, lambda s: s["text"]))
 
 
+def from_code_point(n: Column) -> Column:
+    """The character of a code point, of any size; char() wraps at 256."""
+    return F.decode(F.unhex(F.lpad(F.hex(n.cast("long")), 8, F.lit("0"))), "UTF-32")
+
+
 def from_inverted(index: Column) -> Column:
     """The text of a map from words to positions."""
     placed = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("at"), e["key"].alias("word")))))

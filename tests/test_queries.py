@@ -37,3 +37,14 @@ def test_same_rows_as_sql(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
 def test_has_rows(spark, name):
     assert catalog.QUERIES[name](spark, FOLDER).count() > 0
+
+
+def test_labels_beyond_four_letters(spark, tmp_path):
+    """As many customers as larger tables have: what the SQL gives past zzzz, in one byte, two and three."""
+    keys = [0, 25, 26, 701, 702, 18277, 18278, 475253, 475254, 899999, 18278 + 17576 * 31, 18278 + 17576 * 158, 18278 + 17576 * 159 + 5, 18278 + 17576 * 3000 + 77, None]
+    spark.createDataFrame([(k,) for k in keys], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    got = catalog.QUERIES["labels_and_numbers"](spark, str(tmp_path))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    want = c.sql(catalog.SQL["labels_and_numbers"])
+    assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(want.columns, want.fetchall())
