@@ -190,7 +190,18 @@ def chunks(offsets: np.ndarray, data: np.ndarray, stops: np.ndarray | None = Non
 
 def hashes(distinct: pa.Array, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of each string."""
-    return np.fromiter((xxhash.xxh3_64_intdigest(x, seed) for x in distinct.cast(pa.large_binary()).to_pylist()), np.uint64, len(distinct))
+    return np.fromiter((xxhash.xxh3_64_intdigest(x, seed) for x in raw(distinct)), np.uint64, len(distinct))
+
+
+def raw(distinct: pa.Array) -> list[bytes]:
+    """The strings' bytes, cut from one buffer; to_pylist makes a scalar of each first."""
+    if not len(distinct):
+        return []
+    plain = distinct.cast(pa.large_binary())
+    at = np.frombuffer(plain.buffers()[1], np.int64)[plain.offset : plain.offset + len(plain) + 1]
+    data = plain.buffers()[2]
+    data, at = data.slice(int(at[0]), int(at[-1] - at[0])).to_pybytes() if data is not None else b"", (at - at[0]).tolist()
+    return [data[lo:hi] for lo, hi in zip(at, at[1:], strict=False)]
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

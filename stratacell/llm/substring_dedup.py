@@ -40,6 +40,9 @@ WINDOW, RUN = 13, 6
 #: Different stretches with one least hash from which on its windows are dealt out one by one.
 COMMON = 256
 
+#: Least hashes whose stretches share an automaton.
+TOGETHER = 16
+
 #: Stands for a null doc_id.
 LATEST = np.iinfo(np.int64).max
 
@@ -203,13 +206,15 @@ class Questions:
         return np.cumsum(covered)[:-1] > 0
 
 
-def located(stretches: pa.Array, first: np.ndarray, several: np.ndarray, window: int) -> np.ndarray:
+def located(stretches: pa.Array, first: np.ndarray, several: np.ndarray, window: int, run: int) -> np.ndarray:
     """For every window of distinct stretches, in order, the smallest document that has it; LATEST if it recurs in none.
 
     Windows that hashes propose as recurring (in two stretches, or in one that
-    several documents have) are the phrases of an Aho-Corasick automaton over
-    word numbers. All stretches stream through it; what it locates, and nothing
-    else, counts as an occurrence.
+    several documents have) are the phrases of Aho-Corasick automata over word
+    numbers. All stretches stream through the one of their least hash; what it
+    locates, and nothing else, counts as an occurrence. An automaton holds
+    stretches of few least hashes only, as each of its steps at the root goes
+    through all words that a phrase begins with.
     """
     found = B.words(*B.buffers(stretches))
     at, of = starts_within(found.offsets, window)
@@ -220,29 +225,42 @@ def located(stretches: pa.Array, first: np.ndarray, several: np.ndarray, window:
     _, one, number, times = np.unique(name, return_index=True, return_inverse=True, return_counts=True)
     shared = times > 1
     shared[number[several[of]]] = True
-    index = found.index.tolist()
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
     same = np.ones(len(at), bool)
     for k in range(window):
         same &= found.index[at + k] == found.index[at[one][number] + k]
-    phrases = 0
-    for i in [*at[one][shared].tolist(), *at[shared[number] & ~same].tolist()]:  # one of each hash, and what shares a hash but not its words
-        key = tuple(index[i : i + window])
-        if key not in automaton:
-            automaton.add_word(key, phrases)
-            phrases += 1
-    if not phrases:
+    phrase_at = np.append(one[shared], np.flatnonzero(shared[number] & ~same))  # one of each hash, and what shares a hash but not its words
+    if not len(phrase_at):
         return out
-    automaton.make_automaton()
-    place = np.full(len(found.index), -1, np.int64)
-    place[at] = np.arange(len(at))
+    # Equal windows have one least hash, and all windows of a stretch have it.
+    small = runs(B.hashes(found.distinct)[found.index], run, 0x9E3779B97F4A7C15)
+    begins = found.offsets[:-1]
+    small = np.minimum.reduce([small[np.minimum(begins + k, len(small) - 1)] for k in range(window - run + 1)])
+    part = np.unique(small, return_inverse=True)[1] // TOGETHER
+    recur = np.flatnonzero(np.bincount(of, weights=shared[number], minlength=len(first)) > 0)
+    recur = recur[np.argsort(part[recur], kind="stable")]
+    phrase_at = phrase_at[np.argsort(part[of[phrase_at]], kind="stable")]
+    ends = np.flatnonzero(np.diff(part[recur], append=-1)) + 1
+    phrase_ends = np.searchsorted(part[of[phrase_at]], part[recur][ends - 1], side="right").tolist()
+    index, words_at = found.index.tolist(), at[phrase_at].tolist()
+    spans = list(zip(begins[recur].tolist(), found.offsets[1:][recur].tolist(), strict=True))
     where: list[int] = []
     which: list[int] = []
-    recur = np.bincount(of, weights=shared[number], minlength=len(first)) > 0
-    for lo, hi in zip(found.offsets[:-1][recur].tolist(), found.offsets[1:][recur].tolist(), strict=True):
-        for end, phrase in automaton.iter(tuple(index[lo:hi])):
-            where.append(lo + end)
-            which.append(phrase)
+    phrases = lo_phrase = lo_span = 0
+    for hi_span, hi_phrase in zip(ends.tolist(), phrase_ends, strict=True):
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for i in words_at[lo_phrase:hi_phrase]:
+            key = tuple(index[i : i + window])
+            if key not in automaton:
+                automaton.add_word(key, phrases)
+                phrases += 1
+        automaton.make_automaton()
+        for lo, hi in spans[lo_span:hi_span]:
+            for end, phrase in automaton.iter(tuple(index[lo:hi])):
+                where.append(lo + end)
+                which.append(phrase)
+        lo_span, lo_phrase = hi_span, hi_phrase
+    place = np.full(len(found.index), -1, np.int64)
+    place[at] = np.arange(len(at))
     hit, phrase = place[np.array(where, np.int64) - window + 1], np.array(which, np.int64)
     smallest = np.full(phrases, LATEST)
     np.minimum.at(smallest, phrase, first[of[hit]])
@@ -250,7 +268,7 @@ def located(stretches: pa.Array, first: np.ndarray, several: np.ndarray, window:
     return out
 
 
-def smallest_of(window: int) -> Callable[[list[int], list[tuple]], Iterator[tuple[int, bytes]]]:
+def smallest_of(window: int, run: int) -> Callable[[list[int], list[tuple]], Iterator[tuple[int, bytes]]]:
     def solve(of: list[int], lists: list[tuple]) -> Iterator[tuple[int, bytes]]:
         size = np.concatenate([x[0] for x in lists]).astype(np.int64)
         found = B.strings(np.frombuffer(b"".join(x[1] for x in lists), np.uint8), np.concatenate([[0], np.cumsum(size)])).dictionary_encode()
@@ -259,7 +277,7 @@ def smallest_of(window: int) -> Callable[[list[int], list[tuple]], Iterator[tupl
         np.minimum.at(first, index, np.concatenate([x[2] for x in lists]))
         several = np.bincount(index, minlength=len(distinct)) > 1
         several[index[np.concatenate([np.unpackbits(x[3], count=len(x[0])) for x in lists]).astype(bool)]] = True
-        doc = located(distinct, first, several, window)
+        doc = located(distinct, first, several, window, run)
         n = np.diff(B.words(*B.buffers(distinct)).offsets) - window + 1
         begin = np.cumsum(n) - n
         for block, part in zip(of, np.split(index, np.cumsum([len(x[0]) for x in lists])[:-1]), strict=True):
@@ -293,7 +311,7 @@ def substring_dedup(docs: DataFrame, finish: Callable[[pa.Table, list[bytes], np
         return pa.table({"shard": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([r[1] for r in rows], pa.int64()), "asked": pa.array([r[2] for r in rows], pa.binary())})
 
     asked = found.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(confirm, B.ASK_SCHEMA)
-    second = B.answered(asked, smallest_of(window)).withColumn("shard", (F.col("shard") + shards).cast("int"))
+    second = B.answered(asked, smallest_of(window, run)).withColumn("shard", (F.col("shard") + shards).cast("int"))
 
     def end(left: pa.Table, right: pa.Table) -> pa.Table:
         by = _answers(right)
@@ -302,7 +320,7 @@ def substring_dedup(docs: DataFrame, finish: Callable[[pa.Table, list[bytes], np
             table = B.unpack(body)[0]
             w, asked_ = questions(table, by)
             gone = asked_.removed(w, {s - shards: x for s, x in by.items() if s >= shards})
-            distinct = w.found.distinct.cast(pa.large_binary()).to_pylist()
+            distinct = B.raw(w.found.distinct)
             kept, sizes, removed = [], np.diff(w.found.offsets), np.zeros(len(w.found.offsets) - 1, np.int64)
             for i, (lo, hi) in enumerate(zip(w.found.offsets[:-1].tolist(), w.found.offsets[1:].tolist(), strict=True)):
                 removed[i] = int(gone[lo:hi].sum())

@@ -276,3 +276,24 @@ def test_packing_of_very_many_lengths_is_quick():
             used[x] = used.get(x, 0) + n
     assert used == counts
     assert sum(n for _, n in patterns) <= 1.002 * sum(k * n for k, n in counts.items()) / 4096
+
+
+def test_automata_hold_few_least_hashes(monkeypatch):
+    """Of many repeated phrases no automaton holds more than a few, whose first words each step at its root goes through; all are located."""
+    import ahocorasick
+
+    from stratacell.llm import substring_dedup as S
+
+    made = []
+
+    def automaton(*kinds):
+        made.append(ahocorasick.Automaton(*kinds))
+        return made[-1]
+
+    monkeypatch.setattr(S, "ahocorasick", type("A", (), {"Automaton": staticmethod(automaton), "STORE_ANY": ahocorasick.STORE_ANY, "KEY_SEQUENCE": ahocorasick.KEY_SEQUENCE}))
+    texts = [" ".join(f"w{k}x{j}" for j in range(13)) for k in range(500)]
+    first = np.arange(500)
+    args = (np.ones(500, bool), 13, 6)[: S.located.__code__.co_argcount - 2]
+    got = S.located(pa.array(texts, pa.large_string()), first, *args)
+    assert got.tolist() == first.tolist()
+    assert max(len(a) for a in made) <= 32 and sum(len(a) for a in made) == 500
