@@ -10,12 +10,11 @@ first every node and the leader it meets in most buckets, which makes one
 component of most groups; then all pairs of different components in small
 buckets, and in large ones each node and a leader of another component; last, of
 the nodes of large buckets in which components still meet, all pairs that share
-a word which few of them have. (Similar texts have four fifths of their words in
-common, so that pairs without a shared rare word are rare; two texts that are
-made of words which very many nodes of large buckets have, and that no leader
-joined, are not compared.) Candidates are verified by alignment of the whole
-texts in a band as wide as the similarity allows. Verified links make components
-by repeated least labels, a class each.
+a word which few of them have, and, as similar texts have four fifths of their
+words in common, all others that share one of their rarest n / 5 + 1 words: so no
+pair of similar texts is left out there. Candidates are verified by alignment of
+the whole texts in a band as wide as the similarity allows. Verified links make
+components by repeated least labels, a class each.
 
 Defined cases: a null text has no words, and texts without words are one node;
 texts of fewer than five words match only equal ones; a null doc_id ranks after
@@ -45,8 +44,11 @@ SHINGLE, VALUES, SIMILAR = 5, 32, 0.8
 #: Nodes of a bucket, or of a word, of which all pairs are candidates.
 FEW = 32
 
-#: The first eight bytes of a digest as a number, low byte first.
-SHORT = "cast(conv(hex(reverse(substring(node, 1, 8))), 16, -10) as long)"
+#: The first eight bytes of a digest as a number, high byte first (reverse() takes bytes for text, and so loses some).
+SHORT = "cast(conv(hex(substring(node, 1, 8)), 16, -10) as long)"
+
+#: Texts of a frequent word that meet all of its texts in one group.
+SPREAD = 1024
 
 #: Nodes up to which those with links are broadcast to the texts; beyond that the texts are dealt out by node.
 BROADCAST_NODES = 1_000_000
@@ -172,6 +174,19 @@ def _whole(at: dict[int, int], n: int, b: list[int]) -> int:
     return distance
 
 
+def enough_in_common(x: np.ndarray, y: np.ndarray, least: float = SIMILAR) -> bool:
+    """Whether two sequences have as many values in common as any similar ones must; far cheaper than an alignment."""
+    longer = max(len(x), len(y))
+    most = int((1 - least) * longer + 1e-9)
+    if abs(len(x) - len(y)) > most:
+        return False
+    if not longer:
+        return True
+    at = np.unique(np.concatenate([x, y]), return_inverse=True)[1]
+    n = int(at.max()) + 1
+    return int(np.minimum(np.bincount(at[: len(x)], minlength=n), np.bincount(at[len(x) :], minlength=n)).sum()) >= longer - most
+
+
 def _words(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     offsets, data = B.buffers(t.column("text"))
     found = B.words(offsets, B.LOWERED[data])
@@ -222,7 +237,8 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                keep = [similar(np.frombuffer(x, "<u4").tolist(), np.frombuffer(y, "<u4").tolist()) for x, y in zip(part.column("wa").to_pylist(), part.column("wb").to_pylist(), strict=True)]
+                both = [(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")) for x, y in zip(part.column("wa").to_pylist(), part.column("wb").to_pylist(), strict=True)]
+                keep = [enough_in_common(x, y) and similar(x.tolist(), y.tolist()) for x, y in both]
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(keep, pa.bool_())], names=["a", "b", "similar"])
 
     one = texts.select(F.col("node").alias("na"), F.col("words").alias("wa"))
@@ -281,7 +297,7 @@ def within(rows: DataFrame, key: str) -> DataFrame:
 
 def short(digest: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """The first eight bytes of digests as numbers."""
-    return np.array([int.from_bytes(x[:8], "little", signed=True) for x in digest.to_pylist()], np.int64)
+    return np.array([int.from_bytes(x[:8], "big", signed=True) for x in digest.to_pylist()], np.int64)
 
 
 def tokens(texts: DataFrame) -> DataFrame:
@@ -339,6 +355,32 @@ def sharing_rare_words(texts: DataFrame, few: int = FEW) -> DataFrame:
     return dealt.mapInArrow(B.releasing(run), "x long, y long").distinct()
 
 
+def sharing_frequent_words(texts: DataFrame, few: int = FEW) -> DataFrame:
+    """Pairs of short digests (x, y), of different components and fitting lengths, that may be similar though no token that they share is rare.
+
+    Of a text of n tokens a similar one lacks at most n / 5. So, in the order
+    from rare tokens to frequent ones, both have a token among their first
+    n / 5 + 1 in common; where as many are rare, a rare one. Texts with fewer
+    rare tokens meet at the frequent ones among these first. A token's texts are
+    dealt over groups of SPREAD, so that no task has all pairs of a large one.
+    """
+    every = tokens(texts)
+    counts = cut(every.groupBy("token").agg(F.count(F.lit(1)).alias("texts")).filter(F.col("texts") > few).withColumnRenamed("token", "own"))
+    side = F.broadcast(counts) if counts.count() <= BROADCAST_NODES else counts
+    lists = every.join(side, F.col("token") == F.col("own")).groupBy("id", "group", "n").agg(F.array_sort(F.collect_list(F.struct("texts", "token"))).alias("frequent"))
+    lacks = F.floor(F.col("n") * (1 - SIMILAR) + 1e-9)
+    first = lists.withColumn("more", (lacks + 1 - F.col("n") + F.size("frequent")).cast("int")).filter("more > 0").select("id", "group", "n", F.explode(F.slice("frequent", F.lit(1), F.col("more"))["token"]).alias("token"))
+    first = cut(first)
+    deals = first.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / SPREAD).cast("int").alias("deals")).filter(F.col("deals") > 0).withColumnRenamed("token", "own")
+    dealt = cut(first.join(deals, F.col("token") == F.col("own")).drop("own"))
+    a = dealt.select(*[F.col(c).alias(f"{c}_a") for c in ("token", "id", "group", "n")], F.pmod(F.xxhash64("id"), F.col("deals")).cast("int").alias("deal_a"))
+    b = dealt.withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)))
+    most = F.floor(F.greatest("n_a", "n") * (1 - SIMILAR) + 1e-9)
+    fits = (F.col("id_a") < F.col("id")) & (F.col("group_a") != F.col("group")) & (F.abs(F.col("n_a") - F.col("n")) <= most)
+    met = a.join(b, (F.col("token_a") == F.col("token")) & (F.col("deal_a") == F.col("deal")) & fits)
+    return met.select(F.col("id_a").alias("x"), F.col("id").alias("y")).distinct()
+
+
 def near_classes(docs: DataFrame) -> DataFrame:
     """doc_id, node, class_id (the smallest doc_id of the class), class_size and kept of every row of docs."""
     every = cut(sketches(docs))
@@ -371,10 +413,11 @@ def near_classes(docs: DataFrame) -> DataFrame:
     ends_of = large.groupBy("bucket").agg(F.min(rank).alias("low"), F.max(rank).alias("high"))
     leaders = cut(ends_of.select(F.col("bucket").alias("own"), F.explode(F.array("low", "high")).alias("end")).select("own", F.col("end.node").alias("leader"), F.col("end.label").alias("leader_label")))
     labels = linked(labels, voted(large, leaders).unionByName(within(rows.filter(F.col("size") <= FEW), "bucket")))
-    # What large buckets still hold of several components: similar texts have most words in common, so they share a rare one.
+    # What large buckets still hold of several components: similar texts have most words in common, so they share a rare one, or one of the least frequent that each has.
     large = cut(mixed_buckets(labels).filter(F.col("size") > FEW).select("node", "label").distinct())
     if not large.isEmpty():
-        pairs = sharing_rare_words(texts.join(large.withColumnRenamed("node", "own"), F.col("node") == F.col("own")).select("node", "label", "words"))
+        left = cut(texts.join(large.withColumnRenamed("node", "own"), F.col("node") == F.col("own")).select("node", "label", "words"))
+        pairs = sharing_rare_words(left).union(sharing_frequent_words(left))
         of = lambda c: large.select(F.expr(SHORT).alias(f"i{c}"), F.col("node").alias(c))
         labels = linked(labels, pairs.join(of("a"), F.col("x") == F.col("ia")).join(of("b"), F.col("y") == F.col("ib")).select("a", "b"))
     joined = nodes.select("node", "first", "n").join(labels.select(F.col("node").alias("known"), "label"), F.col("node") == F.col("known"), "left").select("node", "first", "n", F.coalesce("label", "node").alias("label"))

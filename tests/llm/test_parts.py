@@ -297,3 +297,37 @@ def test_automata_hold_few_least_hashes(monkeypatch):
     got = S.located(pa.array(texts, pa.large_string()), first, *args)
     assert got.tolist() == first.tolist()
     assert max(len(a) for a in made) <= 32 and sum(len(a) for a in made) == 500
+
+
+def test_similar_texts_of_frequent_words_meet(spark):
+    """Texts made of words that more of them have than a list may hold: all similar pairs are candidates, as by brute force."""
+    from stratacell.llm import near_dedup as N
+
+    r = random.Random(3)
+    lists = [[r.randrange(12) for _ in range(r.randrange(5, 40))] for _ in range(60)]
+    for x in lists[:40]:
+        y = list(x)
+        for _ in range(r.randrange(1, 1 + max(1, len(x) // 5))):
+            y[r.randrange(len(y))] = r.randrange(12)
+        lists.append(y)
+    lists = [list(x) for x in {tuple(x) for x in lists}]
+    rows = [(k.to_bytes(8, "big") * 2, k.to_bytes(8, "big") * 2, np.array(x, "<u4").tobytes()) for k, x in enumerate(lists)]
+    texts = spark.createDataFrame(rows, "node binary, label binary, words binary")
+    want = {(i, j) for i in range(len(lists)) for j in range(i + 1, len(lists)) if similar(lists[i], lists[j])}
+    assert len(want) >= 30
+    rare, frequent = ({(p["x"], p["y"]) for p in f(texts, 2).collect()} for f in (N.sharing_rare_words, N.sharing_frequent_words))
+    assert not want <= rare
+    assert want <= rare | frequent
+
+
+def test_a_hidden_pair_of_large_buckets_is_joined(spark, monkeypatch):
+    """No leader and no rare word joins a pair; the classes have it all the same."""
+    from stratacell.llm import near_dedup as N
+
+    monkeypatch.setattr(N, "voted", lambda rows, leaders: rows.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
+    monkeypatch.setattr(N, "sharing_rare_words", lambda texts, few=N.FEW: spark.createDataFrame([], "x long, y long"))
+    monkeypatch.setattr(N, "FEW", 1)
+    x = [f"w{k % 11}" for k in range(60)]
+    docs = [(k, " ".join(x if k % 2 else x[:-1] + [f"v{k}"])) for k in range(1, 120)]
+    got = N.near_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {g["class_id"] for g in got} == {1}
