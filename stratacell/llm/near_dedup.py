@@ -8,11 +8,12 @@ sketch value, so that it depends on order as an alignment does. Nodes that share
 a value are a bucket. Candidates never are each with each of a large bucket:
 first every node and the leader it meets in most buckets, which makes one
 component of most groups; then all pairs of different components in small
-buckets, and in large ones each node and a leader of another component; last, of
-the nodes of large buckets in which components still meet, all pairs that share
-a word which few of them have, and, as similar texts have four fifths of their
-words in common, all others that share one of their rarest n / 5 + 1 words: so no
-pair of similar texts is left out there. Candidates are verified by alignment of
+buckets, and in large ones each node and a leader of another component; last,
+all pairs of different components in the large buckets in which components still
+meet. These are no rows: a bucket's texts come to one task, or in blocks of
+which each two come to one, and of the pairs that have enough words in common
+for an alignment each is aligned in one of its buckets, unless both are in one
+component by then. So no pair of similar texts is left out there. Candidates are verified by alignment of
 the whole texts in a band as wide as the similarity allows. Verified links make
 components by repeated least labels, a class each.
 
@@ -50,6 +51,12 @@ SHORT = "cast(conv(hex(substring(node, 1, 8)), 16, -10) as long)"
 #: Texts of a frequent word that meet all of its texts in one group.
 SPREAD = 1024
 
+#: Texts, and words of theirs, of a bucket that come to one task; of larger buckets each two blocks of so many.
+TILE, TILE_WORDS = 512, 1 << 20
+
+#: Texts of a value up to which its pairs are listed to count what texts have in common, and cells of a matrix for the others.
+LISTED, CELLS = 16, 1 << 23
+
 #: Nodes up to which those with links are broadcast to the texts; beyond that the texts are dealt out by node.
 BROADCAST_NODES = 1_000_000
 
@@ -381,6 +388,96 @@ def sharing_frequent_words(texts: DataFrame, few: int = FEW) -> DataFrame:
     return met.select(F.col("id_a").alias("x"), F.col("id").alias("y")).distinct()
 
 
+def overlaps(w: list[np.ndarray]) -> np.ndarray:
+    """How many values each two of the sequences have in common, repeats counted: by lists of the sequences for values that few have, by products of 0/1 matrices for the others."""
+    s = len(w)
+    size = np.fromiter(map(len, w), np.int64, s)
+    flat, of = np.concatenate([np.zeros(0, np.int64), *w]).astype(np.int64), np.repeat(np.arange(s), size)
+    order = np.lexsort((of, flat))
+    flat, of = flat[order], of[order]
+    new = np.ones(len(flat), bool)
+    new[1:] = (flat[1:] != flat[:-1]) | (of[1:] != of[:-1])
+    head = np.flatnonzero(new)
+    nth = np.arange(len(flat)) - np.repeat(head, np.diff(np.append(head, len(flat))))
+    order = np.lexsort((of, nth, flat))  # a second occurrence is another value than the first
+    flat, of, nth = flat[order], of[order], nth[order]
+    start = np.flatnonzero(np.concatenate([[True], (flat[1:] != flat[:-1]) | (nth[1:] != nth[:-1])])) if len(flat) else np.zeros(0, np.int64)
+    n = np.diff(np.append(start, len(flat)))
+    out = np.zeros(s * s, np.float32)
+    some, many = (n > 1) & (n <= LISTED), np.flatnonzero(n > LISTED)
+    for k in range(1, LISTED):
+        left = B.ragged(start, np.where(some, np.maximum(n - k, 0), 0))
+        if len(left):
+            out += np.bincount(of[left] * s + of[left + k], minlength=s * s)
+    out = out.reshape(s, s)
+    out += out.T
+    width = max(1, CELLS // max(s, 1))
+    for at in range(0, len(many), width):
+        part = many[at : at + width]
+        has = np.zeros((s, len(part)), np.float32)
+        has[of[B.ragged(start[part], n[part])], np.repeat(np.arange(len(part)), n[part])] = 1
+        out += has @ has.T
+    return out
+
+
+def linked_in(node: list[bytes], label: list[bytes], w: list[np.ndarray], buckets: list[set[int]], own: int, side: np.ndarray | None = None) -> list[tuple[bytes, bytes]]:
+    """Similar pairs of different components among the texts of one bucket, in pairs of sides if there are two: as many as join all that are similar. A pair that shares a lesser bucket is left to that one."""
+    n = np.fromiter(map(len, w), np.int64, len(w))
+    names = {x: i for i, x in enumerate(dict.fromkeys(label))}
+    group = np.fromiter((names[x] for x in label), np.int64, len(label))
+    longer = np.maximum(n[:, None], n)
+    most = np.floor(longer * (1 - SIMILAR) + 1e-9).astype(np.int64)
+    common = overlaps(w)
+    fits = (np.abs(n[:, None] - n) <= most) & (group[:, None] != group) & (common >= longer - most)
+    if side is not None:
+        fits &= side[:, None] != side
+    a, b = np.nonzero(np.triu(fits, 1))
+    parent = list(range(len(names)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    out = []
+    lists: dict[int, list[int]] = {}
+    order = np.argsort(-common[a, b] / np.maximum(longer[a, b], 1), kind="stable")  # the likeliest first, as what they join needs no further link
+    for i, j in zip(a[order].tolist(), b[order].tolist(), strict=True):
+        x, y = root(int(group[i])), root(int(group[j]))
+        if x == y or min(buckets[i] & buckets[j]) != own:
+            continue
+        for k in (i, j):
+            if k not in lists:
+                lists[k] = w[k].tolist()
+        if similar(lists[i], lists[j]):
+            parent[x] = y
+            out.append((min(node[i], node[j]), max(node[i], node[j])))
+    return out
+
+
+def linked_within(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) that join all similar texts of different components that share one of the buckets of rows (node, n_words, bucket, label).
+
+    No pair is a row: a bucket's texts come to one task, or, if they are many, as
+    blocks of which each two come to one, and are compared there.
+    """
+    tiles = rows.groupBy("bucket").agg(F.ceil(F.greatest(F.count(F.lit(1)) / TILE, F.sum("n_words") / TILE_WORDS)).cast("int").alias("deals")).select(F.col("bucket").alias("of"), "deals")
+    dealt = rows.join(tiles, F.col("bucket") == F.col("of")).withColumn("deal", F.pmod(F.xxhash64("node"), F.col("deals")).cast("int"))
+    held = dealt.groupBy("node").agg(F.min("label").alias("label"), F.collect_list(F.struct("bucket", "deal", "deals")).alias("places"))
+    held = held.join(texts.select(F.col("node").alias("own"), "words"), F.col("node") == F.col("own")).select("node", "label", "words", F.transform("places", lambda p: p["bucket"]).alias("buckets"), F.explode("places").alias("place"))
+    met = held.select("node", "label", "words", "buckets", F.col("place.bucket").alias("bucket"), F.col("place.deal").alias("deal"), F.explode(F.sequence(F.lit(0), F.col("place.deals") - 1)).alias("other"))
+    met = met.withColumn("low", F.least("deal", "other")).withColumn("high", F.greatest("deal", "other")).drop("other")
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        w = [np.frombuffer(x, "<u4") for x in t.column("words").to_pylist()]
+        side = t.column("deal").to_numpy() == key[1].as_py() if key[1] != key[2] else None
+        found = linked_in(t.column("node").to_pylist(), t.column("label").to_pylist(), w, [set(x) for x in t.column("buckets").to_pylist()], key[0].as_py(), side)
+        B.release()
+        return pa.table({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([x for _, x in found], pa.binary())})
+
+    return met.groupBy("bucket", "low", "high").applyInArrow(run, "a binary, b binary")
+
+
 def near_classes(docs: DataFrame) -> DataFrame:
     """doc_id, node, class_id (the smallest doc_id of the class), class_size and kept of every row of docs."""
     every = cut(sketches(docs))
@@ -413,13 +510,10 @@ def near_classes(docs: DataFrame) -> DataFrame:
     ends_of = large.groupBy("bucket").agg(F.min(rank).alias("low"), F.max(rank).alias("high"))
     leaders = cut(ends_of.select(F.col("bucket").alias("own"), F.explode(F.array("low", "high")).alias("end")).select("own", F.col("end.node").alias("leader"), F.col("end.label").alias("leader_label")))
     labels = linked(labels, voted(large, leaders).unionByName(within(rows.filter(F.col("size") <= FEW), "bucket")))
-    # What large buckets still hold of several components: similar texts have most words in common, so they share a rare one, or one of the least frequent that each has.
-    large = cut(mixed_buckets(labels).filter(F.col("size") > FEW).select("node", "label").distinct())
+    # What large buckets still hold of several components: all pairs in them, compared where a bucket's texts meet.
+    large = cut(mixed_buckets(labels).filter(F.col("size") > FEW).select("node", "n_words", "bucket", "label"))
     if not large.isEmpty():
-        left = cut(texts.join(large.withColumnRenamed("node", "own"), F.col("node") == F.col("own")).select("node", "label", "words"))
-        pairs = sharing_rare_words(left).union(sharing_frequent_words(left))
-        of = lambda c: large.select(F.expr(SHORT).alias(f"i{c}"), F.col("node").alias(c))
-        labels = linked(labels, pairs.join(of("a"), F.col("x") == F.col("ia")).join(of("b"), F.col("y") == F.col("ib")).select("a", "b"))
+        labels = joined_up(labels, cut(linked_within(large, texts)))
     joined = nodes.select("node", "first", "n").join(labels.select(F.col("node").alias("known"), "label"), F.col("node") == F.col("known"), "left").select("node", "first", "n", F.coalesce("label", "node").alias("label"))
     joined = cut(joined)
     classes = cut(joined.groupBy("label").agg(F.min("first").alias("class_id"), F.sum("n").alias("class_size")))

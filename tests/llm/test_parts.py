@@ -1,6 +1,7 @@
 """Parts of the operators on their own."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -331,3 +332,46 @@ def test_a_hidden_pair_of_large_buckets_is_joined(spark, monkeypatch):
     docs = [(k, " ".join(x if k % 2 else x[:-1] + [f"v{k}"])) for k in range(1, 120)]
     got = N.near_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert {g["class_id"] for g in got} == {1}
+
+
+def test_what_texts_have_in_common_is_counted(monkeypatch):
+    from stratacell.llm import near_dedup as N
+
+    r = random.Random(8)
+    w = [np.array([r.randrange(40) if r.random() < 0.6 else r.randrange(3000) for _ in range(r.randrange(0, 90))], "<u4") for _ in range(40)]
+    for listed in (2, 16):
+        monkeypatch.setattr(N, "LISTED", listed)
+        got = N.overlaps(w)
+        for i in range(40):
+            for j in range(i):
+                assert got[i, j] == got[j, i] == sum((Counter(w[i].tolist()) & Counter(w[j].tolist())).values())
+
+
+@pytest.mark.parametrize("tile", [512, 7])
+def test_pairs_of_a_large_group_are_no_rows(spark, monkeypatch, tile):
+    """Texts with one long passage, of which few are similar: classes as by brute force, and no more pairs as rows than nodes times a constant."""
+    from stratacell.llm import near_dedup as N
+
+    r = random.Random(9)
+    word = lambda: f"w{r.randrange(60)}"
+    passage = [word() for _ in range(60)]
+    lists = [passage + [word() for _ in range(22)] for _ in range(90)]
+    lists += [x[:64] + [word() for _ in range(k % 7 + 3)] + x[64 + k % 7 + 3 :] for k, x in enumerate(lists[:30])]
+    label = list(range(len(lists)))
+    for i in range(len(lists)):
+        for j in range(i):
+            if label[i] != label[j] and similar(lists[i], lists[j]):
+                label = [min(label[i], label[j]) if v in (label[i], label[j]) else v for v in label]
+    made = []
+    verified = N.verified
+
+    def counted(pairs, texts):
+        made.append(pairs.count())
+        return verified(pairs, texts)
+
+    monkeypatch.setattr(N, "verified", counted)
+    monkeypatch.setattr(N, "FEW", 4)
+    monkeypatch.setattr(N, "TILE", tile)
+    got = N.near_classes(spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(lists)], "doc_id long, text string")).collect()
+    assert {g["doc_id"]: g["class_id"] for g in got} == dict(enumerate(label))
+    assert 60 < len(set(label)) < len(lists) and sum(made) < 8 * len(lists), made
