@@ -275,6 +275,8 @@ def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
 
 def split_by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each shard with the positions it owns, in order."""
+    if not len(shard):
+        return
     order = np.argsort(shard, kind="stable")
     owned, at = np.unique(shard[order], return_index=True)
     for s, part in zip(owned.tolist(), np.split(order, at[1:]), strict=True):

@@ -18,6 +18,7 @@ doc_id and text never enter a score.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -323,8 +324,16 @@ def learned(docs: DataFrame, labels: DataFrame) -> Network:
     if not chosen:
         return train([], [])
     ids = docs.sparkSession.createDataFrame(chosen, "id long, toxic int")  # as many as the sample has at most
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("id")).groupBy("doc_id", "toxic").agg(F.max("text").alias("text")).orderBy("doc_id").collect()
-    return train([r["text"] for r in rows], [r["toxic"] for r in rows])
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("id")).groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for batch in batches for r in batch.to_pylist()]
+        net = train([r["text"] for r in rows], [r["toxic"] for r in rows])
+        yield pa.RecordBatch.from_pydict({"net": pa.array([pickle.dumps(net, protocol=5)], pa.binary())})
+
+    # In one task, so that the driver holds neither the sample nor what training takes.
+    found = texts.repartition(1).sortWithinPartitions("doc_id").mapInArrow(B.releasing(run), "net binary").collect()
+    return pickle.loads(found[0]["net"])
 
 
 def scored(docs: DataFrame, net: Network, name: str = "score") -> DataFrame:

@@ -1,5 +1,6 @@
 """Parts of the operators on their own."""
 
+import os
 import random
 from collections import Counter
 
@@ -375,3 +376,19 @@ def test_pairs_of_a_large_group_are_no_rows(spark, monkeypatch, tile):
     got = N.near_classes(spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(lists)], "doc_id long, text string")).collect()
     assert {g["doc_id"]: g["class_id"] for g in got} == dict(enumerate(label))
     assert 60 < len(set(label)) < len(lists) and sum(made) < 8 * len(lists), made
+
+
+def test_training_is_not_on_the_driver(spark, plain, monkeypatch):
+    from stratacell.llm import toxicity as X
+
+    docs, labels = (spark.read.parquet(f"{plain[0]}/{t}.parquet") for t in ("documents", "labels"))
+    want = X.learned(docs, labels)
+    train, driver = X.train, os.getpid()
+    monkeypatch.setattr(X, "train", lambda *a: train(*a) if os.getpid() != driver else pytest.fail("trained on the driver"))
+    got = X.learned(docs, labels)
+    assert got.prior == want.prior > 0 and got.p.keys() == want.p.keys() and all((got.p[k] == want.p[k]).all() for k in got.p)
+
+
+def test_a_block_without_questions_asks_no_shard():
+    assert list(B.split_by_shard(np.zeros(0, np.int32))) == []
+    assert [(s, part.tolist()) for s, part in B.split_by_shard(np.array([3, 1, 3], np.int32))] == [(1, [1]), (3, [0, 2])]
