@@ -277,7 +277,7 @@ def split_by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each shard with the positions it owns, in order."""
     if not len(shard):
         return
-    order = np.argsort(shard, kind="stable")
+    order = np.argsort(tight(shard), kind="stable")  # numbers of two bytes at most are sorted by radix
     owned, at = np.unique(shard[order], return_index=True)
     for s, part in zip(owned.tolist(), np.split(order, at[1:]), strict=True):
         yield s, part

@@ -112,7 +112,7 @@ class Windows:
 
     def asked(self, shards: int) -> Iterator[tuple[int, bytes]]:
         whole = runs(self.h, self.window, 0xD6E8FEB86659FD93) if len(self.key) else np.zeros(0, np.uint64)
-        return keys_asked(self.keys, self.key, self.first[self.text], whole[self.start] ^ mixed(whole[self.start + self.n - 1]), shards)
+        return keys_asked(self.keys, self.key, self.first, self.text, whole[self.start] ^ mixed(whole[self.start + self.n - 1]), shards)
 
     def kinds(self, by: dict[int, tuple], shards: int) -> np.ndarray:
         return kinds_answered(self.keys, self.key, by, shards)
@@ -128,20 +128,21 @@ class Windows:
         return B.strings(spaced[B.ragged((offsets[:-1] + np.arange(len(n)))[word], n[word] + 1)], ends[np.concatenate([[0], np.cumsum(size)])])
 
 
-def keys_asked(keys: np.ndarray, key: np.ndarray, first: np.ndarray, content: np.ndarray, shards: int) -> Iterator[tuple[int, bytes]]:
-    """A block's keys by shard, with the numbers (255 at most) of its documents and of its different stretches that have each."""
+def keys_asked(keys: np.ndarray, key: np.ndarray, first: np.ndarray, text: np.ndarray, content: np.ndarray, shards: int) -> Iterator[tuple[int, bytes]]:
+    """A block's keys by shard, with the numbers (255 at most) of its documents and of its different stretches that have each; key, text and content are those of its stretches, first of its texts."""
     n = len(keys)
-    several = [np.minimum(np.bincount(_distinct(key, x), minlength=n), 255).astype(np.uint8) for x in (first, content)]
+    distinct, document = np.unique(first, return_inverse=True)
+    width = np.uint64(max(n - 1, 1).bit_length())
+    apart = (key * len(distinct) + document[text], key.astype(np.uint64) << (np.uint64(64) - width) | content >> width)
+    several = [np.minimum(np.bincount(k, minlength=n), 255).astype(np.uint8) for k in (_distinct(apart[0]) // max(len(distinct), 1), (_distinct(apart[1]) >> (np.uint64(64) - width)).astype(np.int64))]
     for s, part in B.split_by_shard((keys % np.uint64(shards)).astype(np.int32)):
         yield s, B.pack(packed_keys(keys[part]), several[0][part], several[1][part])
 
 
-def _distinct(key: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """The keys of the different pairs of key and x."""
-    order = np.lexsort((x, key))
-    new = np.ones(len(order), bool)
-    new[1:] = (key[order][1:] != key[order][:-1]) | (x[order][1:] != x[order][:-1])
-    return key[order][new]
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """np.unique, which since NumPy 2.3 may hash and not sort."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
 
 
 def kinds_answered(keys: np.ndarray, key: np.ndarray, by: dict[int, tuple], shards: int) -> np.ndarray:

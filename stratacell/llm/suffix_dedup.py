@@ -5,7 +5,8 @@ runs are kept together: neighbouring windows share it, and equal windows have
 equal ones. A first exchange (see blocks.py) settles the windows whose least
 hash no other document has, which are not sorted at all. The rest, as stretches
 of text, go to the shard of their hash, equal stretches once. Each shard sorts
-the suffixes of its stretches by the difference cover of modulo three: triples
+the suffixes of those that share a window's hash with a different one, in parts
+of whole least hashes, by the difference cover of modulo three: triples
 at two of three positions are sorted and named, names are sorted by recursion,
 the third kind is sorted by its first byte and its neighbour's rank, and the two
 are merged. Adjacent suffixes are compared byte by byte over a window; equal
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,28 +41,42 @@ WINDOW, RUN = 50, 24
 #: Bytes of text in a block; arrays over positions take many times as much.
 BLOCK = 2 << 20
 
-#: Windows that are compared together.
-TOGETHER = 200_000
+#: Values that are hashed at once.
+PIECE = 1 << 14
+
+#: Bytes of stretches that are sorted together; more if so many share one least hash.
+PART = 1 << 18
+
+
+@cache
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd number and of its inverse, modulo two to the 64."""
+    out = np.ones((2, n), np.uint64)
+    for row, x in zip(out, (base, pow(base, -1, 2**64)), strict=True):
+        row[1:] = np.cumprod(np.full(n - 1, x, np.uint64))
+    return out[0], out[1]
 
 
 def rolled(x: np.ndarray, length: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
-    """A hash of every run of that many values, from hashes of runs half as long."""
+    """A hash of every run of that many values, from differences of running sums; by pieces that stay in the cache."""
     n = max(len(x) - length + 1, 0)
-    power, out, have = base % 2**64, None, 0
-    part, size = x.astype(np.uint64) + np.uint64(1), 1
-    while size <= length:
-        if length & size:
-            if out is None:
-                out = part
-            else:  # what is there stands after this part
-                out = part[: len(out) - size if size <= len(out) else 0] * np.uint64(pow(base, have, 2**64)) + out[size:] if len(out) > size else np.zeros(0, np.uint64)
-            have += size
-        if len(part) <= size:
-            part = np.zeros(0, np.uint64)
-        else:
-            part = part[:-size] * np.uint64(power) + part[size:]
-        power, size = power * power % 2**64, size * 2
-    return mixed(out[:n])
+    out = np.empty(n, np.uint64)
+    power, inverse = _powers(base % 2**64, PIECE + length)
+    for lo in range(0, n, PIECE):
+        part = x[lo : lo + PIECE + length - 1].astype(np.uint64) + np.uint64(1)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part * power[: len(part)], out=sums[1:])
+        h = sums[length:] - sums[:-length]
+        out[lo : lo + PIECE] = mixed(h * inverse[: len(h)])
+    return out
+
+
+def leasts(h: np.ndarray, width: int) -> np.ndarray:
+    """The least value of every run of that many values, by pieces."""
+    out = np.empty(max(len(h) - width + 1, 0), h.dtype)
+    for lo in range(0, len(out), PIECE):
+        out[lo : lo + PIECE] = least(h[lo : lo + PIECE + width - 1], width)
+    return out
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -79,29 +95,31 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     else:
         pair = np.unique(t[sample] * top + t[sample + 1], return_inverse=True)[1].astype(np.int64)
         triple = pair * top + t[np.minimum(sample + 2, n + 2)]
-    distinct, name = np.unique(triple, return_inverse=True)
-    if len(distinct) < len(sample):
-        order = suffix_array(name + 1)
-    else:
-        order = np.argsort(name)
+    order = np.argsort(triple)
+    new = np.append(True, np.diff(triple[order]) != 0)
+    if not new.all():
+        name = np.empty(len(sample), np.int64)
+        name[order] = np.cumsum(new)
+        order = suffix_array(name)
     sorted_sample = sample[order]
     rank = np.zeros(n + 3, np.int64)
     rank[sorted_sample] = np.arange(1, len(sample) + 1)
     rank[n + 1 :] = 0
     rest = np.arange(0, n, 3)
-    many = len(sample) + 2
-    near = lambda i: t[i] * many + rank[i + 1]
-    pair = np.unique(np.concatenate([t[rest] * top + t[rest + 1], t[two] * top + t[two + 1]]), return_inverse=True)[1].astype(np.int64)
-    far_rest, far_two = pair[: len(rest)] * many + rank[np.minimum(rest + 2, n + 2)], np.zeros(n + 3, np.int64)
-    far_two[two] = pair[len(rest) :] * many + rank[np.minimum(two + 2, n + 2)]
-    key = near(rest)
-    order = np.argsort(key, kind="stable")
     ones, twos = sorted_sample[sorted_sample % 3 == 1], sorted_sample[sorted_sample % 3 == 2]
     if n % 3 == 1:
         ones, sorted_sample = ones[ones != n], sorted_sample[sorted_sample != n]
-    before = np.searchsorted(near(ones), key[order]) + np.searchsorted(far_two[twos], far_rest[order])
+    many = len(sample) + 2
+    key = t[rest] * many + rank[rest + 1]
+    order = np.argsort(key)  # all differ
+    first, second = rest[order], np.concatenate([rest[order], twos])
+    pair = t[second] * top + t[second + 1]
+    if top**2 * many >= 2**62:
+        pair = np.unique(pair, return_inverse=True)[1].astype(np.int64)
+    far = pair * many + rank[second + 2]
+    before = np.searchsorted(t[ones] * many + rank[ones + 1], key[order]) + np.searchsorted(far[len(rest) :], far[: len(rest)])
     out = np.full(n, -1, np.int64)
-    out[np.arange(len(rest)) + before] = rest[order]
+    out[np.arange(len(rest)) + before] = first
     out[out < 0] = sorted_sample
     return out
 
@@ -121,11 +139,13 @@ def groups(stretches: pa.Array, first: np.ndarray, window: int = WINDOW) -> tupl
     order = suffix_array(text)
     order = order[number[order] >= 0]
     raw = (text - 2).astype(np.uint8)
-    new = np.ones(len(order), bool)
-    for lo in range(0, len(order) - 1, TOGETHER):
-        a = order[lo : lo + TOGETHER + 1]
-        rows = raw[a[:, None] + np.arange(window)]
-        new[lo + 1 : lo + len(a)] = (rows[1:] != rows[:-1]).any(axis=1)
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    wide = min(window, 8)  # bytes that are compared at once
+    words = np.lib.stride_tricks.sliding_window_view(raw, wide).view(f"V{wide}")[:, 0] if wide < 8 else np.ndarray(max(len(raw) - 7, 0), np.uint64, raw, strides=(1,))
+    for k in (*range(0, window - wide, wide), window - wide) if len(order) else ():
+        part = words[order + k]
+        new[1:] |= part[1:] != part[:-1]
     heads = np.flatnonzero(new)
     doc = np.repeat(first, n)[number[order]]
     smallest = np.minimum.reduceat(doc, heads) if len(heads) else doc
@@ -141,20 +161,33 @@ class Stretches:
         self.window = window
         self.offsets, self.data = B.buffers(table.column("text"))
         self.first = pc.fill_null(pc.cast(table.column("doc_id"), pa.int64()), LATEST).to_numpy()
-        at, text = starts_within(self.offsets, window)
-        if not len(at):
+        size = np.diff(self.offsets)
+        n = np.maximum(size - window + 1, 0)
+        if not n.any():
             self.start, self.n, self.text, self.keys, self.key = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             return
-        small = least(rolled(self.data, run), window - run + 1)[at]
-        new = np.ones(len(at), bool)
-        new[1:] = (small[1:] != small[:-1]) | (text[1:] != text[:-1])
-        head = np.flatnonzero(new)
-        self.start, self.text, self.n = at[head], text[head], np.diff(np.append(head, len(at)))
-        self.keys, self.key = np.unique(small[head] >> np.uint64(64 - SENT_BITS), return_inverse=True)
+        self.runs, self.run = rolled(self.data, run), run
+        small = leasts(self.runs, window - run + 1)
+        new = np.ones(len(small), bool)
+        new[1:] = small[1:] != small[:-1]
+        new[self.offsets[:-1][n > 0]] = True
+        none = B.ragged(self.offsets[:-1] + n, size - n)  # a window that starts here would leave its text
+        new[none[none < len(new)]] = False
+        self.start = np.flatnonzero(new)
+        ends = np.append(self.start[1:], 0)
+        bound = np.searchsorted(self.start, self.offsets)
+        ends[bound[1:][n > 0] - 1] = (self.offsets[:-1] + n)[n > 0]
+        self.n, self.text = ends - self.start, np.repeat(np.arange(len(n)), np.diff(bound))
+        self.keys, self.key = np.unique(small[self.start] >> np.uint64(64 - SENT_BITS), return_inverse=True)
 
     def asked(self, shards: int) -> Iterator[tuple[int, bytes]]:
-        whole = rolled(self.data, self.window) if len(self.key) else np.zeros(0, np.uint64)
-        return keys_asked(self.keys, self.key, self.first[self.text], whole[self.start] ^ mixed(whole[self.start + self.n - 1]), shards)
+        content = np.zeros(len(self.key), np.uint64)
+        if len(self.key):
+            reach = self.window - self.run
+            for begin in (self.start, self.start + self.n - 1):  # the first and the last window, from runs that cover them
+                for k in (*range(0, reach, self.run), reach):
+                    content = mixed(content ^ self.runs[begin + k]) + np.uint64(1)
+        return keys_asked(self.keys, self.key, self.first, self.text, content, shards)
 
     def kinds(self, by: dict[int, tuple], shards: int) -> np.ndarray:
         return kinds_answered(self.keys, self.key, by, shards)
@@ -188,7 +221,7 @@ class Questions:
     def asked(self) -> Iterator[tuple[int, bytes]]:
         for s, part in B.split_by_shard(self.shard):
             size, data = B._plain(self.distinct.take(pa.array(part)).cast(pa.large_string(), safe=False))
-            yield s, B.pack(size, data, self.first[part], level=6)
+            yield s, B.pack(size, data, self.first[part], level=3)
 
     def removed(self, own: Stretches, by: dict[int, tuple]) -> np.ndarray:
         """A mask of the block's bytes: those in a window that starts in an earlier document."""
@@ -207,6 +240,19 @@ class Questions:
         return np.cumsum(covered)[:-1] > 0
 
 
+def shared(hashed: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """Which of n stretches have a window whose hash another one has too; of is each window's stretch."""
+    order = np.argsort(hashed)
+    equal = hashed[order[1:]] == hashed[order[:-1]]
+    # Of a run of equal hashes all count or none does: those whose windows are all of one stretch don't.
+    start = np.flatnonzero(np.append(True, ~equal)[: len(order)])
+    least_of, most_of = (f.reduceat(of[order], start) if len(start) else start for f in (np.minimum, np.maximum))
+    mixed_run = np.repeat(least_of != most_of, np.diff(np.append(start, len(order))))
+    found = np.zeros(n, bool)
+    found[of[order[mixed_run]]] = True
+    return np.flatnonzero(found)
+
+
 def smallest_of(window: int, run: int) -> Callable[[list[int], list[tuple]], Iterator[tuple[int, bytes]]]:
     def solve(of: list[int], lists: list[tuple]) -> Iterator[tuple[int, bytes]]:
         size = np.concatenate([x[0] for x in lists]).astype(np.int64)
@@ -218,14 +264,22 @@ def smallest_of(window: int, run: int) -> Callable[[list[int], list[tuple]], Ite
         n = np.diff(offsets) - window + 1
         begin = np.cumsum(n) - n
         doc = np.repeat(first, n)
-        # Equal windows have one least hash, so a stretch that no other one shares it with needs no sorting; nor do stretches of one window each, as different ones share none.
-        edges = np.stack([offsets[:-1], offsets[:-1] + window - run + 1], axis=1).ravel()  # of each stretch's first window
-        inner = np.minimum.reduceat(np.append(rolled(data, run), np.uint64(0)), edges)[::2] if len(n) else n
-        _, number, times = np.unique(inner, return_inverse=True, return_counts=True)
-        longer = np.bincount(number, weights=n > 1, minlength=len(times)) > 0
-        some = np.flatnonzero((times > 1)[number] & longer[number])
-        sorted_doc, _ = groups(distinct.take(pa.array(some)).cast(pa.large_string(), safe=False), first[some], window)
-        doc[B.ragged(begin[some], n[some])] = sorted_doc
+        # A stretch that shares no window's hash with another one needs no sorting. The rest are sorted by parts of whole least hashes, as equal windows have one.
+        hashed = rolled(data, window)
+        at, within = starts_within(offsets, window)
+        some = shared(hashed[at], within, len(n))
+        if len(some):
+            edges = np.stack([offsets[:-1], offsets[:-1] + window - run + 1], axis=1)[some].ravel()  # of each stretch's first window
+            inner = np.minimum.reduceat(np.append(rolled(data, run), np.uint64(0)), edges)[::2]
+            some, inner = some[np.argsort(inner)], np.sort(inner)
+            size = np.diff(offsets)[some]
+            last = np.append(inner[1:] != inner[:-1], True)
+            filled = np.cumsum(size)
+            ends, lo = np.flatnonzero(last) + 1, 0
+            while lo < len(some):
+                hi = int(ends[min(np.searchsorted(filled[ends - 1], (filled[lo - 1] if lo else 0) + PART), len(ends) - 1)])
+                part, lo = some[lo:hi], hi
+                doc[B.ragged(begin[part], n[part])] = groups(distinct.take(pa.array(part)).cast(pa.large_string(), safe=False), first[part], window)[0]
         for block, part in zip(of, np.split(index, np.cumsum([len(x[0]) for x in lists])[:-1]), strict=True):
             yield block, B.pack(doc[B.ragged(begin[part], n[part])])
 

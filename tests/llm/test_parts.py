@@ -392,3 +392,54 @@ def test_training_is_not_on_the_driver(spark, plain, monkeypatch):
 def test_a_block_without_questions_asks_no_shard():
     assert list(B.split_by_shard(np.zeros(0, np.int32))) == []
     assert [(s, part.tolist()) for s, part in B.split_by_shard(np.array([3, 1, 3], np.int32))] == [(1, [1]), (3, [0, 2])]
+
+
+def test_stretches_are_the_windows_by_least_hash(monkeypatch):
+    """Whatever the pieces that are hashed at once: every window of every text is in one stretch, with its neighbours of the same least hash."""
+    from stratacell.llm import suffix_dedup as S
+
+    r = random.Random(3)
+    texts = ["", None, "x" * 49, "y" * 50, "ab" * 60] + ["".join(r.choice("abcd ") for _ in range(r.randint(0, 300))) for _ in range(30)] + [""]
+    table = pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())})
+    found = []
+    for piece in (7, 64, 1 << 14):
+        monkeypatch.setattr(S, "PIECE", piece, raising=False)
+        own = S.Stretches(table, 50, 24)
+        hashed = rolled(own.data, 24)
+        windows = [(t, at) for t, lo, hi in zip(range(len(texts)), own.offsets[:-1].tolist(), own.offsets[1:].tolist(), strict=True) for at in range(lo, hi - 49)]
+        least = {w: int(hashed[w[1] : w[1] + 27].min()) for w in windows}
+        assert [(t, at + k) for t, at, n in zip(own.text.tolist(), own.start.tolist(), own.n.tolist(), strict=True) for k in range(n)] == windows
+        heads = {(t, at) for t, at in zip(own.text.tolist(), own.start.tolist(), strict=True)}
+        assert heads == {w for i, w in enumerate(windows) if not i or windows[i - 1][0] != w[0] or least[windows[i - 1]] != least[w]}
+        found.append((own.start.tolist(), own.keys[own.key].tolist()))
+    assert found[0] == found[1] == found[2]
+
+
+def test_suffixes_are_sorted_by_bounded_parts(monkeypatch):
+    """A shard doesn't sort all that it has at once, which outgrows the cache and the memory, nor a stretch that shares only its least hash with others."""
+    from stratacell.llm import suffix_dedup as S
+
+    r = random.Random(4)
+    word = lambda n: "".join(r.choice("abcdefghij") for _ in range(n))
+    passages, phrase = [word(90) for _ in range(60)], word(24)
+    texts = [word(30) + p + word(30) for p in passages for _ in range(3)] + [word(26) + phrase + word(26) for _ in range(200)]
+    table = pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())})
+    own = S.Stretches(table, 50, 24)
+    parts = [own.data[a : a + n + 49].tobytes() for a, n in zip(own.start.tolist(), own.n.tolist(), strict=True)]
+    first = own.first[own.text]
+    sizes, whole = [], S.groups
+
+    def groups(stretches, *rest):
+        sizes.append(sum(map(len, stretches.to_pylist())))
+        return whole(stretches, *rest)
+
+    monkeypatch.setattr(S, "groups", groups)
+    monkeypatch.setattr(S, "PART", 2000, raising=False)
+    ((_, answer),) = S.smallest_of(50, 24)([0], [(np.array([len(p) for p in parts]), b"".join(parts), first)])
+    smallest: dict[bytes, int] = {}
+    for p, f in zip(parts, first.tolist(), strict=True):
+        for k in range(len(p) - 49):
+            smallest[p[k : k + 50]] = min(smallest.get(p[k : k + 50], f), f)
+    assert B.unpack(answer)[0].tolist() == [smallest[p[k : k + 50]] for p in parts for k in range(len(p) - 49)]
+    assert len(sizes) > 3 and max(sizes) < 2000 + 1500
+    assert sum(sizes) < 0.6 * sum(map(len, parts))
