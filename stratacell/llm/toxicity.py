@@ -52,6 +52,9 @@ SHARP = 2.0
 #: Windows that are scored together.
 TOGETHER = 2048
 
+#: Rows that are multiplied at once.
+ROWS = 1000
+
 STOPS = np.zeros(256, bool)
 STOPS[list(b".,!?;:|#$%&*")] = True
 
@@ -60,6 +63,17 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
+def steady(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a @ b, not by BLAS, which rounds a row by its place among the others: equal texts score the same wherever they are."""
+    rows = a.reshape(-1, a.shape[-1])
+    out = np.empty((len(rows), b.shape[1]), np.result_type(a, b))
+    for lo in range(0, len(rows), ROWS):
+        part = rows[lo : lo + ROWS]
+        turned = np.ascontiguousarray((np.repeat(part, 2, axis=0) if len(part) == 1 else part).T)  # of one row alone another axis would run fastest
+        out[lo : lo + ROWS] = np.einsum("kn,kj->jn", turned, b).T[: len(part)]
+    return out.reshape(*a.shape[:-1], b.shape[1])
+
+
 class Inputs(NamedTuple):
     """Distinct words: row of each word's embedding, rows of its character runs, and where each word's runs begin."""
 
@@ -128,29 +142,31 @@ class Network:
 
     def states(self, v: np.ndarray, index: np.ndarray, mask: np.ndarray, d: str, keep: list | None) -> np.ndarray:
         """The unit's states (steps, windows, UNIT), forwards or backwards; keep gets what the gradient needs."""
-        u, xs = self.p[f"u{d}"], v @ self.p[f"x{d}"] + self.p[f"b{d}"]
+        times = steady if keep is None else np.matmul
+        u, xs = self.p[f"u{d}"], times(v, self.p[f"x{d}"]) + self.p[f"b{d}"]
         steps = index.shape[1]
         h = np.zeros((len(index), UNIT), np.float32)
         out = np.empty((steps, len(index), UNIT), np.float32)
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-            x, hu, m = xs[index[:, t]], h @ u, mask[:, t, None]
+            x, hu, m = xs[index[:, t]], times(h, u), mask[:, t, None]
             gates = sigmoid(x[:, : 2 * UNIT] + hu[:, : 2 * UNIT])
             z, r = gates[:, :UNIT], gates[:, UNIT:]
             new = np.tanh(x[:, 2 * UNIT :] + r * hu[:, 2 * UNIT :])
             if keep is not None:
                 keep.append((t, h, z, r, new, hu[:, 2 * UNIT :]))
-            h = np.where(m, (1 - z) * new + z * h, h)
+            after = (1 - z) * new + z * h
+            h = after if m.all() else np.where(m, after, h)
             out[t] = h
         return out
 
     def pooled(self, h: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, ...]:
         """Attention pooling of states (steps, windows, 2 UNIT): logits, pooled states, weights, the attention's inner values."""
-        inner = np.tanh(h @ self.p["attend"] + self.p["attend_b"])
-        e = np.where(mask.T, inner @ self.p["attend_v"], -1e9)
+        inner = np.tanh(steady(h, self.p["attend"]) + self.p["attend_b"])
+        e = np.where(mask.T, steady(inner, self.p["attend_v"][:, None])[:, :, 0], -1e9)
         a = np.exp(e - e.max(axis=0))
         a /= a.sum(axis=0)
         pool = np.einsum("tn,tnk->nk", a, h)
-        return pool @ self.p["out"] + self.p["out_b"][0], pool, a, inner
+        return (pool * self.p["out"]).sum(axis=1) + self.p["out_b"][0], pool, a, inner
 
     def logits(self, v: np.ndarray, index: np.ndarray, mask: np.ndarray) -> np.ndarray:
         h = np.concatenate([self.states(v, index, mask, d, None) for d in "fb"], axis=2)
@@ -301,8 +317,9 @@ def scores(net: Network, column: pa.Array | pa.ChunkedArray) -> np.ndarray:
         order = np.argsort(length, kind="stable")
         for at in range(0, len(order), TOGETHER):
             part = order[at : at + TOGETHER]
-            index, mask = laid_out(start[part], length[part], found.index)
-            logit[part] = net.logits(v, index, mask)
+            twice = np.repeat(part, 2 if len(part) == 1 else 1)  # sums over the steps of one window alone would be rounded otherwise
+            index, mask = laid_out(start[twice], length[twice], found.index)
+            logit[part] = net.logits(v, index, mask)[: len(part)]
     doc, _ = smooth_max(logit, of, len(found.offsets) - 1)
     return np.where(np.diff(found.offsets) > 0, sigmoid(doc), net.prior)
 

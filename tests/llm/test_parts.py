@@ -443,3 +443,17 @@ def test_suffixes_are_sorted_by_bounded_parts(monkeypatch):
     assert B.unpack(answer)[0].tolist() == [smallest[p[k : k + 50]] for p in parts for k in range(len(p) - 49)]
     assert len(sizes) > 3 and max(sizes) < 2000 + 1500
     assert sum(sizes) < 0.6 * sum(map(len, parts))
+
+
+def test_a_text_scores_the_same_beside_any_others():
+    from stratacell.llm import toxicity as X
+
+    r = random.Random(6)
+    some = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(1, 6))) for _ in range(n))
+    net = X.Network()
+    texts = [some(r.randint(1, 130)) for _ in range(60)]
+    alone = [X.scores(net, pa.array([t], pa.string()))[0] for t in texts]
+    for n in (1, 2, 5, 7, 150):
+        others = [some(r.randint(1, 200)) for _ in range(n)]
+        assert X.scores(net, pa.array(others + texts, pa.string()))[n:].tolist() == alone
+        assert X.scores(net, pa.array(texts[:n] + others, pa.string()))[: min(n, 60)].tolist() == alone[:n]
